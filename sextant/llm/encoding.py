@@ -43,7 +43,7 @@ def _touching(t: str) -> bool:
 class Encoder:
     """Encodes texts to ids; at most ``capacity`` pieces are remembered, then the cache starts anew."""
 
-    def __init__(self, path: str, capacity: int = 400_000):
+    def __init__(self, path: str, capacity: int = 800_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -55,7 +55,7 @@ class Encoder:
 
     def _reset(self) -> None:
         self.flat, self.start, self.size = array("I"), array("q"), array("i")
-        self.parts: dict[str, list[int]] = {}
+        self.parts: dict[str, tuple[int, ...]] = {}  # tuples of numbers are no work for the garbage collector
         self.inner, self.first = _Pieces(self, " "), _Pieces(self, "")
 
     def _parts(self, piece: str) -> list[str]:
@@ -70,13 +70,13 @@ class Encoder:
             return [head, body[len(core) :]] if len(core) < len(body) else [head]
         return (_WORD_END if self.words else _BYTE_LEVEL).findall(piece)
 
-    def _part(self, part: str) -> list[int]:
+    def _part(self, part: str) -> tuple[int, ...]:
         if (ids := self.parts.get(part)) is None:
             mapped = part.replace(" ", "\u0120") if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(self.to_alphabet)
-            self.parts[part] = ids = [t.id for t in self.model.tokenize(mapped)]
+            self.parts[part] = ids = tuple([t.id for t in self.model.tokenize(mapped)])
         return ids
 
-    def _ids(self, piece: str) -> list[int]:
+    def _ids(self, piece: str):
         if not piece.isascii() and max(piece) >= "Ā":
             return self.tok.encode(piece, add_special_tokens=False).ids
         parts = self._parts(piece)

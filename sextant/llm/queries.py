@@ -15,6 +15,27 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    from sextant.llm.simhash import simhash_classes
+
+    return simhash_classes(_table(spark, sf_dir, "documents"))
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document."""
+    from sextant.llm.quality import measure, verdict
+
+    return verdict(measure(_table(spark, sf_dir, "documents")))
+
+
+def op4_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each document lies in the shards, read back from the files."""
+    from sextant.llm.sstable import round_trip
+
+    return round_trip(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 2048 tokens."""
     from sextant.llm.packing import pack
@@ -22,5 +43,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
 
-QUERIES = {"op7_packing": op7_packing}
+QUERIES = {
+    "op1_simhash_dedup": op1_simhash_dedup,
+    "op3_quality_rules": op3_quality_rules,
+    "op4_sstable": op4_sstable,
+    "op7_packing": op7_packing,
+}
 SQL: dict[str, str] = {}
