@@ -36,6 +36,13 @@ def op4_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that go from each document."""
+    from sextant.llm.linededup import report
+
+    return report(_table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 2048 tokens."""
     from sextant.llm.packing import pack
@@ -47,6 +54,7 @@ QUERIES = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op3_quality_rules": op3_quality_rules,
     "op4_sstable": op4_sstable,
+    "op5_line_dedup": op5_line_dedup,
     "op7_packing": op7_packing,
 }
 SQL: dict[str, str] = {}
