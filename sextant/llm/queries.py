@@ -22,6 +22,16 @@ def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_classes(_table(spark, sf_dir, "documents"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a window that is similar to a benchmark item."""
+    from pyspark.sql import functions as F
+
+    from sextant.llm.decontaminate import matches
+
+    found = matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", F.round("similarity", 6).alias("similarity"), "start").distinct()
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of every document."""
     from sextant.llm.quality import measure, verdict
@@ -52,6 +62,7 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_simhash_dedup": op1_simhash_dedup,
+    "op2_decontamination": op2_decontamination,
     "op3_quality_rules": op3_quality_rules,
     "op4_sstable": op4_sstable,
     "op5_line_dedup": op5_line_dedup,
