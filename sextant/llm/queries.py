@@ -53,6 +53,13 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(_table(spark, sf_dir, "documents"))
 
 
+def op6_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document."""
+    from sextant.llm.histshard import shard
+
+    return shard(_table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 2048 tokens."""
     from sextant.llm.packing import pack
@@ -60,12 +67,33 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
 
+def op8_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    from sextant.llm.htmlmain import extract
+
+    return extract(_table(spark, sf_dir, "pages"))
+
+
+def op10_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade, tail probabilities and selection of every document."""
+    from pyspark.sql import functions as F
+
+    from sextant.llm.ordinal import score, train
+
+    docs = _table(spark, sf_dir, "documents")
+    scored = score(docs, train(docs, _table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", *(F.round(c, 6).alias(c) for c in ("expected_grade", "p_low", "p_best")), "selected")
+
+
 QUERIES = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op2_decontamination": op2_decontamination,
     "op3_quality_rules": op3_quality_rules,
     "op4_sstable": op4_sstable,
     "op5_line_dedup": op5_line_dedup,
+    "op6_histogram_sort": op6_histogram_sort,
     "op7_packing": op7_packing,
+    "op8_html_main_text": op8_html_main_text,
+    "op10_ordinal_quality": op10_ordinal_quality,
 }
 SQL: dict[str, str] = {}
