@@ -74,6 +74,13 @@ def op8_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(_table(spark, sf_dir, "pages"))
 
 
+def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal data replaced."""
+    from sextant.llm.pii import pseudonymize
+
+    return pseudonymize(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected grade, tail probabilities and selection of every document."""
     from pyspark.sql import functions as F
@@ -94,6 +101,7 @@ QUERIES = {
     "op6_histogram_sort": op6_histogram_sort,
     "op7_packing": op7_packing,
     "op8_html_main_text": op8_html_main_text,
+    "op9_pii_surrogates": op9_pii_surrogates,
     "op10_ordinal_quality": op10_ordinal_quality,
 }
 SQL: dict[str, str] = {}
