@@ -43,7 +43,7 @@ def _touching(t: str) -> bool:
 class Encoder:
     """Encodes texts to ids; at most ``capacity`` pieces are remembered, then the cache starts anew."""
 
-    def __init__(self, path: str, capacity: int = 800_000):
+    def __init__(self, path: str, capacity: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -55,7 +55,7 @@ class Encoder:
 
     def _reset(self) -> None:
         self.flat, self.start, self.size = array("I"), array("q"), array("i")
-        self.parts: dict[str, tuple[int, ...]] = {}  # tuples of numbers are no work for the garbage collector
+        self.parts: dict[str, int] = {}
         self.inner, self.first = _Pieces(self, " "), _Pieces(self, "")
 
     def _parts(self, piece: str) -> list[str]:
@@ -70,17 +70,21 @@ class Encoder:
             return [head, body[len(core) :]] if len(core) < len(body) else [head]
         return (_WORD_END if self.words else _BYTE_LEVEL).findall(piece)
 
-    def _part(self, part: str) -> tuple[int, ...]:
-        if (ids := self.parts.get(part)) is None:
+    def _part(self, part: str) -> int:
+        """Where the ids of a pre-token lie in the flat store."""
+        if (at := self.parts.get(part)) is None:
             mapped = part.replace(" ", "\u0120") if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(self.to_alphabet)
-            self.parts[part] = ids = tuple([t.id for t in self.model.tokenize(mapped)])
-        return ids
+            self.parts[part] = at = self.add([t.id for t in self.model.tokenize(mapped)])
+        return at
 
-    def _ids(self, piece: str):
+    def place(self, piece: str) -> int:
+        """Where the ids of a piece lie in the flat store; a piece that is one pre-token shares its place."""
         if not piece.isascii() and max(piece) >= "Ā":
-            return self.tok.encode(piece, add_special_tokens=False).ids
-        parts = self._parts(piece)
-        return self._part(parts[0]) if len(parts) == 1 else [i for p in parts for i in self._part(p)]
+            return self.add(self.tok.encode(piece, add_special_tokens=False).ids)
+        places = [self._part(p) for p in self._parts(piece)]
+        if len(places) == 1:
+            return places[0]
+        return self.add([i for p in places for i in self.flat[self.start[p] : self.start[p] + self.size[p]]])
 
     def add(self, ids: list[int]) -> int:
         self.start.append(len(self.flat))
@@ -121,7 +125,7 @@ class _Pieces(dict):
         self.encoder, self.lead = encoder, lead
 
     def __missing__(self, piece: str) -> int:
-        self[piece] = at = self.encoder.add(self.encoder._ids(self.lead + piece))
+        self[piece] = at = self.encoder.place(self.lead + piece)
         return at
 
     def whole(self, text: str) -> int:
