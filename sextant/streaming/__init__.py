@@ -1,0 +1 @@
+"""Extensions for streams: index upkeep and debounced sessions."""
