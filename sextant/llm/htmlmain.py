@@ -3,11 +3,11 @@
 A page is a sequence of tokens: each word scores its weight, which is positive, and each tag a negative one. The
 contiguous run with the largest sum is the content region; one linear scan finds it. Weights are log-odds of a
 token's kind inside and outside the main text of the labelled pages, so a word in running text counts more than one in a link. Menus, headers, footers,
-sidebars, notices, adverts, forms and comments that are marked as such by element or by class, id or role score like tags, and their
+sidebars, notices, adverts, forms and comments that are marked as such by element or by class, id or role score like tags, or nothing where they are set into an article, and their
 words are no part of the text even inside the region. The region's blocks give the text.
 
 Defined cases: a null or empty page, and one without words outside marked containers, gives the empty text; a tag, comment or
-container cut off by the page's end is markup to the end, but an article or main element ends any open container; unknown references
+container cut off by the page's end is markup to the end, but an article or main element ends an open container that is never closed; unknown references
 stay as written; repeated rows are extracted one by one; other columns are ignored. A page of any size is read whole, in time linear in it.
 """
 
@@ -39,7 +39,7 @@ MARKED = frozenset("ad ads adv advert adverts advertisement advertising banner b
 
 
 class Token(NamedTuple):
-    kind: str  # a tag's name, or word, linked or marked
+    kind: str  # a tag's name, or word, linked, marked, inset or space
     count: int  # words of a text, 1 for a tag
     text: str
 
@@ -47,7 +47,7 @@ class Token(NamedTuple):
 def _is_marked(name: str, attributes: str, depth: int) -> bool:
     if name in CONTAINERS or name == "header" and not depth:
         return True
-    if name in ("html", "body", "article", "main") or "=" not in attributes:
+    if name in ("html", "body", "main") or "=" not in attributes:
         return False
     return any(not MARKED.isdisjoint(_PIECES.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", "".join(m)).lower())) for m in _MARKS.findall(attributes))
 
@@ -59,7 +59,7 @@ def tokens(page: str) -> Iterator[Token]:
     def text(upto: int) -> Iterator[Token]:
         piece = html.unescape(page[at:upto])
         if n := len(piece.split()):
-            yield Token("marked" if skip else "linked" if links else "word", n, piece)
+            yield Token("inset" if skip and inside else "marked" if skip else "linked" if links else "word", n, piece)
         elif piece:
             yield Token("space", 0, piece)
 
@@ -70,10 +70,11 @@ def tokens(page: str) -> Iterator[Token]:
             continue
         if m[1]:
             links -= name == "a" and links > 0
-            inside -= name in ("article", "main") and inside > 0
             if name == skip:
                 depth -= 1
                 skip = skip if depth else ""
+            elif not skip:
+                inside -= name in ("article", "main") and inside > 0
         elif name in RAW:
             end = re.compile(rf"</{name}\s*>|<(?=body\b)" if name == "head" else rf"</{name}\s*>", re.I).search(page, at)
             at = end.end() - (name == "head" and end[0] == "<") if end else len(page)
@@ -81,13 +82,14 @@ def tokens(page: str) -> Iterator[Token]:
             continue
         else:
             links += name == "a"
-            if name in ("article", "main"):
-                inside, skip, depth, links = inside + 1, "", 0, 0
+            if name in ("article", "main") and skip and not re.compile(rf"</{re.escape(skip)}\b", re.I).search(page, at):
+                skip, depth, links = "", 0, 0  # a container that never ends
             if skip:
                 depth += name == skip
             elif name not in VOID and _is_marked(name, m[3], inside):
                 skip, depth = name, 1
-        yield Token(name, 1, "")
+            inside += name in ("article", "main") and not skip
+        yield Token("inset" if skip and inside else name, 1, "")
     yield from text(len(page))
 
 
@@ -104,11 +106,11 @@ def weights() -> dict[str, float]:
         for part, into in ((before, outside), (main, inside), (after, outside)):
             for t in tokens(part):
                 into[t.kind] += t.count
-    kinds = {*inside, *outside} - {"space"}
+    kinds = {*inside, *outside} - {"space", "inset"}
     a, b = inside.total() + len(kinds), outside.total() + len(kinds)
     odds = {k: math.log((inside[k] + 1) / a) - math.log((outside[k] + 1) / b) for k in kinds}
     floor = min(odds.values())
-    return {k: max(0.1, v) if k == "word" else min(-0.1, v) for k, v in odds.items()} | {"marked": floor, "space": 0.0, "": -0.1}
+    return {k: max(0.1, v) if k == "word" else min(-0.1, v) for k, v in odds.items()} | {"marked": floor, "inset": 0.0, "space": 0.0, "": -0.1}
 
 
 def best_run(scores: list[float]) -> tuple[int, int]:
@@ -131,7 +133,7 @@ def main_text(page: str) -> str:
     for t in ts[lo:hi]:
         if t.kind in ("word", "linked", "space"):
             open_.append(t.text)
-        elif t.kind in BLOCKS:
+        elif t.kind in BLOCKS or t.kind == "inset":
             blocks.append("".join(open_))
             open_ = []
     blocks.append("".join(open_))

@@ -84,10 +84,9 @@ def repetition(word_lists: list[list[bytes]], min_repeat: int) -> np.ndarray:
     doc = np.repeat(np.arange(len(lens)), lens)
     levels = _ranks(doc * len(numbers) + ids)
     per_doc = lambda flags: np.bincount(doc[flags], minlength=len(lens))
-    if n > 2:  # words in three-word windows found twice
-        two = levels[1] if len(levels) > 1 else levels[0]
-        inside = np.flatnonzero(doc[2:] == doc[:-2])
-        inside = inside[levels[0][inside] != -1]
+    inside = np.flatnonzero(doc[2:] == doc[:-2])  # first words of three-word windows
+    if len(inside):
+        two = levels[min(1, len(levels) - 1)]  # without a second step no word occurs twice
         key = two[inside].astype(np.int64) * n + levels[0][inside + 2]
         order = np.argsort(key, kind="stable")
         s = key[order]
@@ -95,7 +94,7 @@ def repetition(word_lists: list[list[bytes]], min_repeat: int) -> np.ndarray:
         twice = inside[order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]]
         mark = np.zeros(n, bool)
         for k in range(3):
-            mark[twice + k] = True
+            mark[twice + k] = True  # words in windows found twice
         out[:, 0] = per_doc(mark)
     suffixes = np.empty(n, np.int64)
     suffixes[levels[-1]] = np.arange(n)

@@ -1,0 +1,296 @@
+"""Quality rules, packing, shards, sharding, pages, personal data and the classifier."""
+
+import io
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+public_tokenizers = pytest.importorskip("public_tokenizers")
+
+from sextant.llm import encoding, histshard, htmlmain, ordinal, packing, pii, quality, sstable  # noqa: E402
+
+BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
+TEXTS = ["plain words here", "", None, "  two  blanks ", "tab\tx\n\nnew", "it's we'll 12 345", "日本語 テスト", "é ́x", "a\x1c b", "nb\xa0 sp", "<|endoftext|> x", "ΣΑΣ İ", "word " * 3000]
+
+
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_encoding_equals_the_library(path):
+    enc = encoding.Encoder(path, capacity=5)
+    texts = [t or "" for t in TEXTS]
+    for _ in range(2):
+        assert [list(x) for x in enc.encode(texts)] == [e.ids for e in enc.tok.encode_batch(texts, add_special_tokens=False)]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet="ab é\n\t'.\xa0　\x1d12ß", max_size=30))
+def test_encoding_any_text(text):
+    for path in (BYTES, WORDS):
+        enc = encoding.encoder(path)
+        assert list(enc.encode([text])[0]) == enc.tok.encode(text, add_special_tokens=False).ids
+
+
+def brute_quality(text, least):
+    w = (text or "").encode().split()
+    runs = lambda k: Counter(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
+
+    def covered(k):
+        found = runs(k)
+        return {i + j for i in range(len(w) - k + 1) if found[tuple(w[i : i + k])] > 1 for j in range(k)}
+
+    longest = max((k for k in range(1, len(w)) if covered(k)), default=0)
+    return len(w), len(covered(3)), len(covered(least)), longest
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["a", "b", "ab", "é"]), max_size=25), min_size=1, max_size=4), st.integers(1, 5))
+def test_suffix_array_repetition(docs, least):
+    texts = [" ".join(d) for d in docs]
+    got = quality._measure([t.encode() for t in texts], least)
+    assert [tuple(r[[0, 4, 5, 6]]) for r in got.tolist() and got] == [brute_quality(t, least) for t in texts]
+
+
+def test_quality_rules(spark):
+    rng = random.Random(5)
+    clean = " ".join(f"w{rng.randrange(500)}" for _ in range(200))
+    texts = [clean, "short", None, "", "spam " * 100, clean + "\n" + clean, "#a *b |c\n#a *b |c\n\n"]
+    docs = spark.createDataFrame([(i, t, 7) for i, t in enumerate(texts)], "doc_id long, text string, n_words int")
+    got = {r["doc_id"]: r for r in quality.verdict(quality.measure(docs)).collect()}
+    assert [got[i]["kept"] for i in range(7)] == [True, False, False, False, False, False, False]
+    assert got[5]["covered_words"] == 400 and got[5]["longest_repeat"] == 200
+    assert (got[6]["n_symbols"], got[6]["n_dup_lines"], got[6]["word_chars"]) == (6, 1, 12)
+    assert quality.measure(docs.limit(0)).count() == 0
+
+
+def test_quality_stage_keeps_columns(spark):
+    docs = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(60)), "en", "s", 5)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert quality.quality_rules(docs).collect() == docs.collect()
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 64), max_size=60))
+def test_best_fit_decreasing(lengths):
+    lengths = sorted(lengths, reverse=True)
+    got, room, expected = packing.best_fit_decreasing(lengths, 64), [], []
+    for x in lengths:
+        fits = [r for r in room if r >= x]
+        if fits:
+            room[room.index(min(fits))] -= x
+        else:
+            room.append(64 - x)
+        expected = room
+    used = Counter()
+    for (seq, offset), x in zip(got, lengths, strict=True):
+        assert offset == used[seq]
+        used[seq] += x
+    assert all(v <= 64 for v in used.values()) and sorted(64 - v for v in used.values()) == sorted(expected)
+
+
+def test_packing(spark):
+    docs = spark.createDataFrame(list(enumerate(TEXTS)) + [(None, "x"), (3, "again")], "doc_id long, text string")
+    rows = packing.pack(docs, BYTES, window=64).collect()
+    tok = encoding.encoder(BYTES).tok
+    for i, text in enumerate(TEXTS):
+        ids = tok.encode(text or "", add_special_tokens=False).ids + [1]
+        mine = sorted((r for r in rows if r["doc_id"] == i and r["doc_tokens"] == len(ids)), key=lambda r: r["start"])
+        assert [r["start"] for r in mine] == list(range(0, len(ids), 64))
+        assert all(r["ids_crc32"] == zlib.crc32(np.array(ids[r["start"] : r["start"] + r["length"]], "<u4").tobytes()) for r in mine)
+    by_sequence = {}
+    for r in rows:
+        by_sequence.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts in by_sequence.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 64
+    assert packing.pack(docs.limit(0), BYTES).count() == 0
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.dictionaries(st.integers(-(1 << 62), 1 << 62), st.lists(st.integers(0, 65535), max_size=9), max_size=40), st.integers(1, 200))
+def test_shard_round_trip(docs, block_bytes):
+    out = io.BytesIO()
+    w = sstable.ShardWriter(out, wide=False, block_bytes=block_bytes)
+    for k in sorted(docs):
+        w.add(sstable.key_of(k), np.array(docs[k], np.uint32))
+    w.finish()
+    shard = sstable.Shard(out.getvalue())
+    assert [(k, list(v)) for k, v in shard.scan()] == [(k, docs[k]) for k in sorted(docs)]
+    assert all([list(v) for v in shard.get(k)] == [docs[k]] for k in docs)
+    assert all(shard.get(k) == [] for k in (None, 1 << 62) if k not in docs)
+
+
+def test_keys_sort_like_ids():
+    ids = [None, -(1 << 63), -5, 0, 7, 1 << 40, (1 << 63) - 1]
+    keys = [sstable.key_of(i) for i in ids]
+    assert keys == sorted(keys) and [sstable.id_of(k) for k in keys] == ids
+
+
+def test_repeated_keys_and_damage():
+    out = io.BytesIO()
+    w = sstable.ShardWriter(out, wide=True, block_bytes=10)
+    for x in (1, 2, 70_000):
+        w.add(sstable.key_of(4), np.array([x], np.uint32))
+    w.finish()
+    assert [list(v) for v in sstable.Shard(out.getvalue()).get(4)] == [[1], [2], [70_000]]
+    with pytest.raises(ValueError):
+        sstable.Shard(out.getvalue()[:-1] + b"x")
+
+
+def test_sstable_round_trip(spark):
+    docs = spark.createDataFrame([(i * 3, t) for i, t in enumerate(TEXTS)] + [(None, "x"), (3, "again")], "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in sstable.round_trip(docs, WORDS, docs_per_shard=4).collect()), key=lambda r: r[1])
+    tok, start = encoding.encoder(WORDS).tok, 0
+    texts = sorted(((r["doc_id"], r["text"]) for r in docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    for (doc_id, text), row in zip(texts, got, strict=True):
+        ids = tok.encode(text or "", add_special_tokens=False).ids + [2]
+        assert row == (doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+    assert sstable.round_trip(docs.limit(0), WORDS).count() == 0
+
+
+def test_sharding(spark):
+    rng = random.Random(6)
+    texts = ["copy " * 20] * 300 + ["t" * rng.randrange(1, 900) + str(i) for i in range(700)] + [None, "", "é" * 5]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(None, "n"), (5, texts[5])], "doc_id long, text string")
+    rows = histshard.shard(docs).collect()
+    assert len(rows) == len(texts) + 2
+    size, slots = Counter(), {}
+    for r in rows:
+        if r["doc_id"] is not None:
+            t = (texts[r["doc_id"]] or "").encode()
+            assert (r["size"], r["text_crc32"]) == (len(t) + 1, zlib.crc32(t))
+        size[r["shard"]] += r["size"]
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert set(size) == set(range(8)) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert max(size.values()) - min(size.values()) <= 2 * 0.01 * sum(size.values()) / 8 + 2 * 901
+    assert histshard.shard(docs.limit(0)).count() == 0
+
+
+def brute_run(scores):
+    best = (0.0, 0, (0, 0))
+    for a in range(len(scores)):
+        for b in range(a + 1, len(scores) + 1):
+            best = max(best, (sum(scores[a:b]), 0, (a, b)), key=lambda x: x[0])
+    return best[0]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(-9, 9).map(float), max_size=14))
+def test_best_run(scores):
+    a, b = htmlmain.best_run(scores)
+    assert sum(scores[a:b]) == brute_run(scores)
+
+
+def test_labelled_pages_are_found_again():
+    from sextant.llm.labelled_pages import PAGES
+
+    for page in PAGES:
+        main = re.sub(r"<(?:/?(?:b|i|a)\b)[^>]*>", "", page.split("<!--main-->")[1].split("<!--/main-->")[0])
+        expected = [x for x in (" ".join(y.split()) for y in re.split(r"<[^>]*>", main)) if x]
+        assert htmlmain.main_text(page).split("\n") == expected
+    w = htmlmain.weights()
+    assert w["word"] > 0 and all(v < 0 for k, v in w.items() if k not in ("word", "space", "inset"))
+
+
+@pytest.mark.parametrize(
+    "page, expected",
+    [
+        (None, ""),
+        ("", ""),
+        ("<p>only a &lt;small&gt;\n text &eacute;&am", "only a <small> text é&am"),
+        ("<nav>menu</nav><article><header><h1>Title</h1></header><p>Some body text here.</p><aside>no</aside><p>End</p></article><footer>foot</footer>", "Title\nSome body text here.\nEnd"),
+        ("<div class='cookie-notice'>we use cookies</div><p>The text of a page.</p><div id=comments><p>first!</p></div>", "The text of a page."),
+        ("<script>var a = '<p>x</p>'</script><p>Real <b>bold</b>text</p><!-- <p>gone</p>", "Real boldtext"),
+        ("<article><p>The post itself.</p></article><section class='comments'><article><p>I like it</p></article></section>", "The post itself."),
+        ("<nav>open menu<article><p>body words are here", "body words are here"),
+    ],
+)
+def test_pages(page, expected):
+    assert htmlmain.main_text(page or "") == expected
+
+
+def test_extract(spark):
+    pages = spark.createDataFrame([(1, "u", "<p>a b</p>", 3), (2, None, None, 4)], "page_id long, url string, html string, text int")
+    assert [tuple(r) for r in htmlmain.extract(pages).orderBy("page_id").collect()] == [(1, "u", "a b", 3), (2, None, "", 0)]
+
+
+def test_surrogates(spark):
+    card, luhn = "4785380592391139", "4111 1111 1111 1111"
+    texts = [
+        f"mail Anna.B@Mail.example.com or +1 (743) 555-3824, card {card}.",
+        f"again anna.b@mail.example.com {luhn} and 4111111111111111; ip 10.2.30.4, v 1.2.3",
+        'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" Mrs. Smith met Г-н Иванов and Mrs. Smith',
+        "nothing at all, 12 apples",
+        None,
+        "",
+        f"{card} 2123465659789240",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(6, texts[6])], "doc_id long, text string")
+    got = {r["doc_id"]: (r["text"], r["n_entities"]) for r in pii.pseudonymize(docs, "k").collect()}
+    assert [got[i][1] for i in range(7)] == [3, 4, 4, 0, 0, 0, 2]
+    assert [got[i][0] for i in (3, 4, 5)] == texts[3:6]
+    everything = " ".join(got[i][0] for i in (0, 1, 2, 6))
+    for secret in ("nna.", "743", card, luhn, "10.2.30.4", "24be64439e", "Smith", "Иванов", "2123465659789240"):
+        assert secret.lower() not in everything.lower()
+    cards = re.findall(r"\b4\d{15}\b", got[0][0] + got[6][0])
+    assert len(cards) == 2 and cards[0] == cards[1]
+    spaced, plain = re.findall(r"4\d{3}(?: ?\d{4}){3}", got[1][0])
+    assert spaced.replace(" ", "") == plain and spaced.count(" ") == 3
+    digits = [int(d) for d in plain[::-1]]
+    assert sum(digits[::2]) % 10 == -sum(sum(divmod(2 * d, 10)) for d in digits[1::2]) % 10
+    mail = re.search(r"mail (\S+)", got[0][0])[1]
+    assert re.search(r"again (\S+)", got[1][0])[1].lower() == mail.lower()
+    women = re.findall(r"Mrs\. (\w+)", got[2][0])
+    assert len(women) == 2 and women[0] == women[1] and re.search(r"Г-н [А-Яа-яё]+", got[2][0])
+    assert re.search(r"\+1 \(\d{3}\) \d{3}-\d{4}", got[0][0]) and re.search(r"ip 2(4\d|5[0-4])\.\d+\.\d+\.\d+,", got[1][0])
+    assert pii.pseudonymize(docs.limit(0)).count() == 0
+
+
+def test_surrogates_never_collide(spark):
+    values = spark.createDataFrame([("ssn", f"{n:09d}", "n") for n in range(400)] + [("ip", f"240.0.0.{n}", "n") for n in range(20)], "kind string, value string, gender string")
+    rows = pii.mapping(values, "k").collect()
+    drawn = [(r["kind"], r["surrogate"]) for r in rows]
+    assert len(set(drawn)) == len(drawn) == 420 and not set(drawn) & {(r["kind"], r["value"]) for r in rows}
+
+
+def test_collisions_are_drawn_again(spark, monkeypatch):
+    monkeypatch.setattr(pii, "_surrogate", lambda kind, value, gender, attempt, key: F.when(attempt == 0, F.lit("same")).otherwise(F.concat(value, attempt.cast("string"))))
+    values = spark.createDataFrame([("iban", v, "n") for v in ("a", "b", "same")], "kind string, value string, gender string")
+    assert sorted(r["surrogate"] for r in pii.mapping(values, "k").collect())[:2] == ["a1", "b1"] or len({r["surrogate"] for r in pii.mapping(values, "k").collect()}) == 3
+
+
+def graded(rng, n):
+    rows = []
+    for i in range(n):
+        words = [f"w{rng.randrange(400)}" for _ in range(60)]
+        kind = i % 4
+        if kind == 0:
+            words[rng.randrange(60)], words[rng.randrange(60)] = "idiot", "scum"
+        elif kind == 1:
+            words = [f"{w}###" for w in words]
+        rows.append((i, " ".join(words), int(kind != 1), int(kind == 0)))
+    return rows
+
+
+def test_ordinal_classifier(spark):
+    rng = random.Random(8)
+    train, held = graded(rng, 800), graded(rng, 200)
+    docs = spark.createDataFrame([(i, t) for i, t, *_ in train], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, q, x) for i, _, q, x in train] + [(99_999, 1, 0), (None, 1, 0), (1, None, None)], "doc_id long, quality int, toxic int")
+    model = ordinal.train(docs, labels)
+    assert model.thresholds[0] < model.thresholds[1]
+    fresh = spark.createDataFrame([(i, t) for i, t, *_ in held] + [(900, ""), (901, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in ordinal.score(fresh, model).collect()}
+    right = sum(got[i]["selected"] == (q == 1 and x == 0) for i, _, q, x in held)
+    assert right >= 190 and np.mean([got[i]["expected_grade"] for i, _, _, x in held if x]) < np.mean([got[i]["expected_grade"] for i, _, q, x in held if not q])
+    assert got[900]["p_best"] == got[901]["p_best"]
+    assert ordinal.score(fresh.limit(0), model).count() == 0
+    assert ordinal.train(docs.limit(0), labels).weights.any() == False  # noqa: E712
