@@ -19,17 +19,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sextant.functions.text import let
 from sextant.llm.common import materialize
 
 SHINGLE, RADIUS, SIMILARITY, BROADCAST_ROWS = 5, 20, 0.8, 1_000_000
 BLOCKS, BLOCK_BITS, NEAR = 8, 8, 2
 
 
-def _let(value: Column, use) -> Column:
-    """``use(value)`` with the value computed once, even where it is used for every element of an array."""
-    return F.get(F.transform(F.array(value), use), 0)
-
-
 def shingles(text: Column) -> Column:
     """64-bit hashes of the text's word shingles, in order."""
     all_ = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{M}\p{N}]+"), lambda x: x != "")
@@ -38,7 +34,7 @@ def shingles(text: Column) -> Column:
         made = F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - SHINGLE, F.lit(0))), lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(SHINGLE))))
         return F.when(F.size(w) > 0, made).otherwise(F.array().cast("array<bigint>"))
 
-    return _let(all_, hashes)
+    return let(all_, hashes)
 
 
 def with_fingerprint(df: DataFrame, hashes: str, lanes: int) -> DataFrame:
@@ -64,7 +60,7 @@ def _block(fp: str, b: int) -> str:
 
 def _bag(hashes: str) -> Column:
     """The hashes numbered by occurrence, so that set operations on the result count multiplicities."""
-    return _let(F.sort_array(hashes), lambda s: F.transform(s, lambda h, i: F.xxhash64(h, i - F.call_function("array_position", s, h))))
+    return let(F.sort_array(hashes), lambda s: F.transform(s, lambda h, i: F.xxhash64(h, i - F.call_function("array_position", s, h))))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY) -> DataFrame:
@@ -99,7 +95,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, similar
     first = "CASE " + " ".join(f"WHEN bit_count({_block('fp', b)} ^ {_block('wfp', b)}) <= {NEAR} THEN {b}" for b in range(BLOCKS)) + " END"
     close = probes.join(bounded(index), ["m", "b", "v"]).where(F.expr(f"bit_count(fp ^ wfp) <= {radius} AND b = {first}"))
 
-    exact = _let(F.size(F.array_intersect(_bag("window"), _bag("item"))), lambda both: both / (F.size("window") + F.size("item") - both))
+    exact = let(F.size(F.array_intersect(_bag("window"), _bag("item"))), lambda both: both / (F.size("window") + F.size("item") - both))
     found = close.select("doc_id", "text_key", "item_id", "start", exact.alias("similarity")).where(F.col("similarity") >= similarity)
     best = found.groupBy("doc_id", "text_key", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"))).alias("w"))
     return best.select("doc_id", "text_key", "item_id", F.col("w.similarity").alias("similarity"), (-F.col("w.s")).alias("start"))

@@ -11,7 +11,7 @@ Only texts with a digit, an @ or a title are searched. Values and their surrogat
 documents is one row of the mapping.
 
 Defined cases: a null text stays null; texts without entities stay as they are; repeated rows get equal results; null ids are ids like any other;
-extra columns are kept by ``pseudonymize``.
+extra columns are kept by ``pseudonymize``, but for an ``n_entities``, which is replaced.
 """
 
 from __future__ import annotations
@@ -158,13 +158,17 @@ def mapping(found: DataFrame, key: str) -> DataFrame:
 
 def pseudonymize(docs: DataFrame, key: str = "sextant") -> DataFrame:
     """The documents with every entity replaced, and ``n_entities`` (long) added."""
-    names = docs.columns
+    names = [c for c in docs.columns if c != "n_entities"]
+    docs = docs.select(*names)
     found = materialize(mentions(docs), "mentions")
     named = found.join(mapping(found, key), ["kind", "value"])
     named = named.select("doc_id", "text_key", "at", _formatted(F.col("kind"), F.col("entity"), F.col("surrogate")).alias("new"))
     lists = named.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list(F.struct("at", "new"))).alias("new")).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("new.new").alias("__new"))
     lists = materialize(lists, "replacements")
-    both = docs.join(lists, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key")), "left")
+    maybe = F.coalesce(F.col("text").rlike(_MAYBE), F.lit(False))
+    both = docs.where(maybe).join(lists, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key")), "left")
     joined = F.array_join(F.zip_with(F.split("text", _ANY, -1), "__new", lambda p, s: F.concat(p, F.coalesce(s, F.lit("")))), "")
     both = both.withColumn("text", F.when(F.col("__new").isNull(), F.col("text")).otherwise(joined))
-    return both.withColumn("n_entities", F.coalesce(F.size("__new"), F.lit(0)).cast("long")).select(*names, "n_entities")
+    both = both.withColumn("n_entities", F.coalesce(F.size("__new"), F.lit(0)).cast("long")).select(*names, "n_entities")
+    # Texts that were not searched pass by the join and are not shuffled.
+    return both.unionByName(docs.where(~maybe).withColumn("n_entities", F.lit(0).cast("long")))

@@ -158,5 +158,6 @@ def verdict(measured: DataFrame, max_covered: int = MAX_COVERED, max_longest: in
 def quality_rules(docs: DataFrame) -> DataFrame:
     """The documents that pass, with all their columns, in which ``doc_id`` and ``text`` are the id and the text."""
     names = docs.columns
-    judged = verdict(measure(docs, keep=tuple(names)))
-    return judged.where("kept").select(*names)
+    plain = docs.toDF(*(f"__{k}" for k in range(len(names))))  # so that no column clashes with a count
+    judged = verdict(measure(plain, f"__{names.index('doc_id')}", f"__{names.index('text')}", keep=tuple(plain.columns)))
+    return judged.where("kept").select(*plain.columns).toDF(*names)

@@ -69,8 +69,8 @@ def test_quality_rules(spark):
 
 
 def test_quality_stage_keeps_columns(spark):
-    docs = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(60)), "en", "s", 5)], "doc_id long, text string, lang string, source string, n_chars long")
-    assert quality.quality_rules(docs).collect() == docs.collect()
+    docs = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(60)), "en", "s", 5)], "doc_id long, text string, lang string, n_words string, kept long")
+    assert quality.quality_rules(docs).collect() == docs.collect() and quality.quality_rules(docs).columns == docs.columns
 
 
 @settings(max_examples=60, deadline=None)
