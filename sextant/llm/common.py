@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: White space of the word pattern ``[^\x20\x09-\x0D]+``, as a Java character class.
 SPACE = r"[ \t\n\x0B\f\r]"
 
@@ -30,15 +33,37 @@ def work_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """While a table is written: Spark deletes the job's shuffle files at its end and not when the driver collects garbage."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: lineage ends there and survives lost executors."""
     spark = df.sparkSession
     path = work_path(spark, tag)
     schema = df.schema
-    df.write.parquet(path)
+    with shuffles_dropped(spark):
+        df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, tag: str) -> DataFrame:
+    """Write ``df`` as a table in the shared folder, bucketed by ``key``: joins on the key do not shuffle it again."""
+    spark = df.sparkSession
+    name = f"sextant_{tag}_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    with shuffles_dropped(spark):
+        df.write.bucketBy(buckets, key).format("parquet").option("compression", "zstd").option("path", work_path(spark, tag)).saveAsTable(name)
+    return spark.table(name)
+
+
 def words(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text, in order; null and blank texts have none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), lambda w: w != "")
