@@ -6,6 +6,9 @@ each half (its low 31 bits) is covered on its own with threshold t = 1. Anchors
 at most 16 anchors within R + t. Two fingerprints that link meet at the home anchor of either one, so homes are compared with
 replicas, anchor by anchor, by an equi-join that checks all 64 bits. Equal fingerprints are one node before that.
 
+The three bits are op1's contract. ``near_dedup`` has none and links documents at a Jaccard similarity of 0.8 or more of their five-word
+shingles, which three bits nearly never show; it finds all such pairs by an exact join on the rarest shingles of each document.
+
 Defined cases: a text without words (null, empty, blank) has fingerprint zero and links like any other; a null doc_id takes part
 but is never a component's smallest id unless it is alone; repeated rows are copies; other columns are kept where documents are returned.
 """
@@ -17,12 +20,14 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sextant.llm.common import components, materialize
 
 MAX_BITS, CODE_BITS, CODE_CHECKS = 3, 31, 5
+#: One document in SAMPLE is searched for frequent shingles, of which FREQUENT at most are set last in the order of prefixes.
+SAMPLE, FREQUENT = 16, 100_000
 
 
 def fingerprint(words: list[bytes], shingle: int) -> int:
@@ -102,10 +107,112 @@ def simhash_classes(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def shingle_set(words: list[bytes], shingle: int) -> np.ndarray:
+    """Distinct XXH64 values (seed 42) of the word shingles, sorted; a shorter text is one shingle, none without words."""
+    import xxhash
+
+    if not words:
+        return np.zeros(0, np.uint64)
+    runs = zip(*(words[k:] for k in range(shingle)), strict=False) if len(words) >= shingle else [words]
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, map(b" ".join, runs), repeat(42)), np.uint64))
+
+
+def _mapped(docs: DataFrame, shingle: int, columns: str, row) -> DataFrame:
+    """``columns`` of every document: (doc_id, text_key, then what ``row`` gives of its shingle set)."""
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("t"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            got = [row(shingle_set(t.as_py().lower().split(), shingle)) for t in part.column(2)]
+            arrays = [pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int32()), pa.array([g[2] for g in got], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *arrays], ["doc_id", "text_key", *columns.split()])
+
+    names = columns.split()
+    return rows.mapInArrow(run, f"doc_id {kind}, text_key long, {names[0]} long, {names[1]} int, {names[2]} array<long>")
+
+
+def _set_id(values: np.ndarray) -> int:
+    import xxhash
+
+    return int(np.uint64(xxhash.xxh64_intdigest(values.tobytes(), 42)).view(np.int64))
+
+
+def _frequent(docs: DataFrame, shingle: int) -> np.ndarray:
+    """The most frequent shingles of a sample, the most frequent last. They only order prefixes, so any list gives the same links."""
+    sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0)
+    each = _mapped(sample, shingle, "id n all", lambda v: (0, len(v), v.view(np.int64))).select(F.explode("all").alias("h"))
+    top = each.groupBy("h").count().where("count > 2").orderBy(F.desc("count"), "h").limit(FREQUENT).collect()
+    return np.array([r["h"] for r in reversed(top)], np.int64)
+
+
+def _prefixes(docs: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, text_key, id, n, prefix): key and size of the shingle set, and its rarest shingles, of which similar sets share one."""
+    frequent = _frequent(docs, shingle).view(np.uint64)
+    order = np.argsort(frequent)
+    known = frequent[order]
+
+    def row(values: np.ndarray):
+        n = len(values)
+        rank = np.zeros(n, np.int64)
+        if len(known):
+            at = np.minimum(np.searchsorted(known, values), len(known) - 1)
+            rank = np.where(known[at] == values, order[at] + 1, 0)
+        prefix = values[np.lexsort((values, rank))][: n - (4 * n + 4) // 5 + 1]
+        return _set_id(values), n, prefix.view(np.int64)
+
+    return _mapped(docs, shingle, "id n prefix", row)
+
+
+def _similar(pairs: DataFrame, prints: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """(x, y): pairs of set keys whose sets have a Jaccard similarity of 0.8 or more, by the sets themselves."""
+    pairs = materialize(pairs.distinct(), "pairs")
+    ids = pairs.select(F.col("x").alias("id")).union(pairs.select(F.col("y").alias("id"))).distinct()
+    one = prints.join(ids, "id", "left_semi").groupBy("id").agg(F.min(F.struct("text_key", "doc_id")).alias("d"))
+    one = materialize(one.select(F.col("d.doc_id").alias("__id"), F.col("d.text_key").alias("__key")), "wanted")
+    wanted = docs.join(one, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key")), "left_semi")
+    sets = _mapped(wanted, shingle, "id n all", lambda v: (_set_id(v), len(v), v.view(np.int64))).dropDuplicates(["id"])
+    sets = materialize(sets.select("id", "all"), "sets")
+    x, y = (sets.select(F.col("id").alias(k), F.col("all").alias(f"{k}_all")) for k in "xy")
+    both = pairs.join(x, "x").join(y, "y")
+    return both.where("9 * size(array_intersect(x_all, y_all)) >= 4 * (size(x_all) + size(y_all))").select("x", "y")
+
+
+def similar_sets(prints: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """(x, y): links between set keys whose components are those of all pairs with a Jaccard similarity of 0.8 or more.
+
+    Each set is first compared with the smallest key under each of its prefix shingles only, which settles families of near copies in
+    as many comparisons as they have rows. Then sets that these links leave apart are compared wherever they share a prefix shingle.
+    """
+    fits = "5 * least(x_.n, y_.n) >= 4 * greatest(x_.n, y_.n) AND 9 * (1 + least(x_.n - x_.pos, y_.n - y_.pos)) >= 4 * (x_.n + y_.n)"  # pos from 1
+    nodes = prints.groupBy("id").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    rows = nodes.select("id", "n", F.posexplode("prefix").alias("pos", "key")).withColumn("pos", F.col("pos") + 1)
+    group = Window.partitionBy("key")
+    here = F.struct("id", "n", "pos")
+    rows = rows.select("key", here.alias("y_"), F.min(here).over(group).alias("x_"), F.count("*").over(group).alias("met"))
+    rows = materialize(rows.where("met > 1").drop("met"), "shared")
+    star = rows.where("x_.id <> y_.id").where(fits).select(F.col("x_.id").alias("x"), F.col("y_.id").alias("y"))
+    star = materialize(_similar(star, prints, docs, shingle), "star")
+    labels = components(star, "x", "y").withColumnsRenamed({"node": "id"})
+    left = rows.select("key", "y_", F.col("y_.id").alias("id")).join(labels, "id", "left").select("key", "y_", F.coalesce("label", "id").alias("label"))
+    left = left.select("*", F.min("label").over(group).alias("low"), F.max("label").over(group).alias("high")).where("low <> high")
+    left = materialize(left.select("key", "y_", "label"), "apart")
+    a = left.select("key", F.col("y_").alias("x_"), F.col("label").alias("x_label"))
+    pairs = a.join(left, "key").where(f"x_label <> label AND x_.id < y_.id AND {fits}").select(F.col("x_.id").alias("x"), F.col("y_.id").alias("y"))
+    return star.union(_similar(pairs, prints, docs, shingle))
+
+
 def near_dedup(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """The document with the smallest doc_id of each component (null ids last), with all its columns; of repeated rows, one."""
-    prints = materialize(fingerprints(docs, shingle), "prints")
-    best = prints.join(classes(prints).select("fp", "label"), "fp").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("w"))
+    """The document with the smallest doc_id of each component (null ids last), with all its columns; of repeated rows, one.
+
+    Documents link at a Jaccard similarity of 0.8 or more of their sets of word shingles. The join on prefixes finds every such
+    pair, so nothing depends on how far fingerprints of similar texts lie apart. Texts without words are equal sets.
+    """
+    prints = materialize(_prefixes(docs, shingle), "prints")
+    links_ = materialize(similar_sets(prints, docs, shingle), "similar")
+    labels = components(links_, "x", "y").withColumnsRenamed({"node": "id"})
+    tagged = prints.select("doc_id", "text_key", "id").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    best = tagged.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("w"))
     best = materialize(best.select("w.doc_id", "w.text_key"), "kept")
     key = F.xxhash64("text")
     kept = docs.join(best.withColumnsRenamed({"doc_id": "__id", "text_key": "__key"}), F.col("doc_id").eqNullSafe(F.col("__id")) & (key == F.col("__key")), "left_semi")

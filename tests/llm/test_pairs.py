@@ -96,6 +96,31 @@ def test_near_dedup_keeps_one_of_each_group(spark):
     assert S.near_dedup(docs.withColumns({"fp": F.lit(1), "label": F.lit("x")})).columns[-2:] == ["fp", "label"]
 
 
+def brute_shingles(text, k=5):
+    w = bytes(c + 32 if 65 <= c <= 90 else c for c in (text or "").encode()).split()
+    return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+
+
+def brute_similar(a, b):
+    return a == b or 9 * len(a & b) >= 4 * (len(a) + len(b))
+
+
+@pytest.mark.parametrize("frequent", [0, 100])
+def test_near_dedup_against_brute_force_jaccard(spark, monkeypatch, frequent):
+    monkeypatch.setattr(S, "SAMPLE", 1)
+    monkeypatch.setattr(S, "FREQUENT", frequent)
+    rng = random.Random(5)
+    common = sentence(rng, 30)
+    base = [sentence(rng, rng.choice((1, 2, 4, 5, 9, 60, 200))) for _ in range(25)] + [f"{common} {sentence(rng, 90)}" for _ in range(15)]
+    texts = base + [edited(rng, rng.choice(base), rng.choice((0, 1, 2, 4, 6))) for _ in range(110)] + [base[-1].upper(), "", None, " ", "a " * 80, "a " * 90]
+    texts += [edited(rng, base[-1], 1) for _ in range(15)]
+    sets = [brute_shingles(t) for t in texts]
+    label = brute_components(range(len(texts)), lambda a, b: brute_similar(sets[a], sets[b]))
+    assert {r["doc_id"] for r in S.near_dedup(table(spark, texts)).collect()} == {i for i, k in label.items() if i == k}
+    far = [(a, b) for a, b in combinations(range(len(texts)), 2) if sets[a] != sets[b] and brute_similar(sets[a], sets[b]) and (brute_fingerprint(texts[a], 5) ^ brute_fingerprint(texts[b], 5)).bit_count() > 3]
+    assert far  # pairs that three bits do not reach
+
+
 def lines_of(texts, ids):
     return [(i, k, frozenset(line.encode().split())) for i, t in sorted(zip(ids, texts, strict=True), key=lambda x: (x[0] is None, x[0] or 0)) for k, line in enumerate((t or "").split("\n"))]
 
