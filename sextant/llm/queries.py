@@ -50,7 +50,7 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that go from each document."""
     from sextant.llm.linededup import report
 
-    return report(_table(spark, sf_dir, "documents"))
+    return report(_table(spark, sf_dir, "documents"), min_words=1)
 
 
 def op6_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -146,6 +146,26 @@ def test_line_dedup_against_brute_force(spark):
     assert {i: r for i, r in got.items() if r} == brute_lines(texts, ids)
 
 
+def test_line_dedup_of_short_lines(spark, tmp_path):
+    import corpus_pipeline
+    from sextant.llm.queries import op5_line_dedup
+
+    rng = random.Random(6)
+    pool = [sentence(rng, n, 7) for n in (1, 2, 3, 4, 4, 5, 5, 6, 8) for _ in range(7)] + ["", "  ", "\t", "}", " } ", "a a a a a a a", "a b c d", "e d c b a", "a b c", "a b c d a b c d"]
+    texts = ["\n".join(rng.choice(pool) for _ in range(rng.choice((1, 2, 4)))) for _ in range(60)] + ["a b c d", "e d c b a", None, ""]
+    seen, expected = [], {}
+    for i, k, s in lines_of(texts, range(len(texts))):
+        if s:
+            if any(9 * len(s & o) >= 4 * (len(s) + len(o)) for o in seen):
+                expected.setdefault(i, []).append(k)
+            seen.append(s)
+    table(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["removed"] for r in op5_line_dedup(spark, str(tmp_path)).collect()}
+    assert {i: r for i, r in got.items() if r} == expected
+    twice = table(spark, ["All rights reserved.\none more line of five", "All rights reserved.\nother words in here now"])
+    assert [r["text"] for r in corpus_pipeline.line_stage(spark, twice, "").orderBy("doc_id").collect()][1] == "other words in here now"
+
+
 def test_line_dedup_documents(spark):
     line, other = "a line with five words", "and one more line of words"
     texts = [f"{line}\nx\n{other}", f"y\n{line}\n", line, "short line", None, ""]
