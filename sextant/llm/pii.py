@@ -7,7 +7,7 @@ or a real value of the corpus draw again until none do. Surrogates keep the type
 format, a card number that passes the Luhn check gets one that does, country code and first card digit stay, IPv4 addresses go to the reserved
 block 240/4, secrets keep length and alphabet, addresses keep their case, and persons get a name of the title's gender in the script of the name.
 
-Only texts with a digit, an @ or a title are searched. Values and their surrogates are tables joined by value; a value that occurs in many
+Only texts with a part that some pattern needs (three digits, an @, a secret's prefix, a title and the like) are searched. Values and their surrogates are tables joined by value; a value that occurs in many
 documents is one row of the mapping.
 
 Defined cases: a null text stays null; texts without entities stay as they are; repeated rows get equal results; null ids are ids like any other;
@@ -52,7 +52,8 @@ PATTERNS = {
     "person": rf"(?<![\p{{L}}\p{{N}}-])(?:{_TITLES})\.? \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?",
 }
 _ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-_MAYBE = rf"\d{{3}}|@|\d\.\d|(?:{_TITLES})\.? \p{{Lu}}"
+#: Something that every match of a pattern above contains; texts without it are not searched.
+_MAYBE = rf"\d{{3}}|@|\d\.\d|\+\d|[A-Z]{{2}}\d{{2}}|[0-9A-Fa-f]{{32}}|(?:AKIA|ghp_|sk-|xox[bp]-)[0-9A-Za-z_-]{{16}}|(?:{_TITLES})\.? \p{{Lu}}"
 ATTEMPTS = 40
 
 
