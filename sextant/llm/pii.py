@@ -3,7 +3,7 @@
 Entities are e-mail addresses, telephone, card, account and social security numbers, IPv4 addresses, long hexadecimal and prefixed secrets, and
 persons named after a title. One value has one surrogate wherever it occurs and however it is punctuated (coreference), and two values never share
 one (distinctness): each distinct value draws its surrogate from SHA-256 of key, type, value and attempt, and the values whose draw equals another's
-or a real value of the corpus draw again until none do. Surrogates keep the type: digits stay digits in their
+or a real value of the corpus draw again until none do; surnames get a syllable more with each attempt. Surrogates keep the type: digits stay digits in their
 format, a card number that passes the Luhn check gets one that does, country code and first card digit stay, IPv4 addresses go to the reserved
 block 240/4, secrets keep length and alphabet, addresses keep their case, and persons get a name of the title's gender in the script of the name.
 
@@ -80,6 +80,10 @@ def _pick(options: tuple[str, ...], digest: Column, k: int) -> Column:
     return F.get(F.array(*map(F.lit, options)), _nibble(digest, k))
 
 
+def _syllables(options: tuple[str, ...], nibbles: Column) -> Column:
+    return F.array_join(F.transform(F.split(nibbles, ""), lambda c: F.get(F.array(*map(F.lit, options)), F.conv(c, 16, 10).cast("int"))), "")
+
+
 def _digits(digest: Column, n: Column) -> Column:
     """``n`` decimal digits, from the hex digits of the digest (twice its length of 64 at most)."""
     return F.substring(F.translate(F.concat(digest, F.reverse(digest)), "abcdef", "258147"), F.lit(1), n)
@@ -107,7 +111,7 @@ def _surrogate(kind: Column, value: Column, gender: Column, attempt: Column, key
     person = F.lit(None).cast("string")
     for (g, script), names in NAMES.items():
         here = value.rlike(r"\p{IsCyrillic}") if script == "cyrillic" else ~value.rlike(r"\p{IsCyrillic}")
-        last = F.initcap(F.concat(*(_pick(SYLLABLES[script], d, k) for k in (1, 2, 3, 4))))
+        last = F.initcap(_syllables(SYLLABLES[script], F.substring(d, F.lit(2), attempt + 4)))  # longer with each attempt, so that draws end
         full = F.when(F.instr(value, " ") > 0, F.concat_ws(" ", _pick(names, d, 0), last)).otherwise(last)
         person = F.when(here & (gender == g), full).otherwise(person)
     return F.when(kind == "card", card).when(kind == "ip", ip).when(kind == "email", email).when(kind == "secret", secret).when(kind == "iban", iban).when(kind == "person", person).otherwise(_digits(d, n))

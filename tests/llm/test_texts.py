@@ -268,6 +268,13 @@ def test_surrogates_never_collide(spark):
     assert len(set(drawn)) == len(drawn) == 420 and not set(drawn) & {(r["kind"], r["value"]) for r in rows}
 
 
+def test_surnames_do_not_run_out(spark, monkeypatch):
+    monkeypatch.setattr(pii, "SYLLABLES", {"latin": ("ba",) * 8 + ("den",) * 8, "cyrillic": ("ба",) * 8 + ("ден",) * 8})
+    names = [(f"{a}{b}", g) for a in ("Foo", "Bar", "Иван") for b in "abcdefghijklmnopqrst" for g in "m"]
+    rows = pii.mapping(spark.createDataFrame([("person", v, g) for v, g in names], "kind string, value string, gender string"), "k").collect()
+    assert len({r["surrogate"] for r in rows}) == len(rows) == 60  # 32 draws of four syllables
+
+
 def test_collisions_are_drawn_again(spark, monkeypatch):
     monkeypatch.setattr(pii, "_surrogate", lambda kind, value, gender, attempt, key: F.when(attempt == 0, F.lit("same")).otherwise(F.concat(value, attempt.cast("string"))))
     values = spark.createDataFrame([("iban", v, "n") for v in ("a", "b", "same")], "kind string, value string, gender string")
