@@ -95,8 +95,13 @@ def _luhn(number: Column) -> Column:
     return F.aggregate(places, F.lit(0), lambda a, x: a + x)
 
 
+def _country(kind: Column, entity: Column) -> Column:
+    """Number of digits of the country code that a mention of a phone number sets off; 0 for others."""
+    return F.when((kind == "phone") & entity.startswith("+"), F.length(F.regexp_extract(entity, r"^\+(\d{1,3})(?=[ .(-])", 1))).otherwise(0)
+
+
 def _surrogate(kind: Column, value: Column, gender: Column, attempt: Column, key: str) -> Column:
-    """The value that stands in, before the mention's own format is put on it."""
+    """The value that stands in, before the mention's own format is put on it; a phone's ``gender`` says what its country code leaves of 9."""
     d = F.sha2(F.concat_ws("\x1f", F.lit(key), kind, value, attempt.cast("string")), 256)
     n = F.length(value)
     body = F.concat(F.substring(value, 1, 1), _digits(d, n - 1))
@@ -114,20 +119,22 @@ def _surrogate(kind: Column, value: Column, gender: Column, attempt: Column, key
         last = F.initcap(_syllables(SYLLABLES[script], F.substring(d, F.lit(2), attempt + 4)))  # longer with each attempt, so that draws end
         full = F.when(F.instr(value, " ") > 0, F.concat_ws(" ", _pick(names, d, 0), last)).otherwise(last)
         person = F.when(here & (gender == g), full).otherwise(person)
-    return F.when(kind == "card", card).when(kind == "ip", ip).when(kind == "email", email).when(kind == "secret", secret).when(kind == "iban", iban).when(kind == "person", person).otherwise(_digits(d, n))
+    country = F.coalesce(9 - gender.try_cast("int"), F.lit(0))
+    # A format whose numbers run out gets more digits.
+    phone = F.concat(F.substring(value, F.lit(1), country), _digits(d, n - country + F.greatest(attempt - ATTEMPTS // 2, F.lit(0))))
+    return F.when(kind == "card", card).when(kind == "ip", ip).when(kind == "email", email).when(kind == "secret", secret).when(kind == "iban", iban).when(kind == "person", person).otherwise(phone)
 
 
 def _formatted(kind: Column, entity: Column, surrogate: Column) -> Column:
     """The surrogate in the mention's punctuation, case and, for persons, after its title."""
-    country = F.when((kind == "phone") & entity.startswith("+"), F.length(F.regexp_extract(entity, r"^\+(\d{1,3})(?=[ .(-])", 1))).otherwise(0)
     start = F.struct(F.lit("").alias("o"), F.lit(0).alias("k"))
 
     def step(a: Column, c: Column) -> Column:
-        mine = F.when(a["k"] < country, c).otherwise(F.substring(surrogate, a["k"] + 1, F.lit(1)))
+        mine = F.substring(surrogate, a["k"] + 1, F.lit(1))
         is_place = F.when(kind == "iban", c.rlike("[0-9A-Z]")).otherwise(c.rlike("[0-9]"))
         return F.struct(F.concat(a["o"], F.when(is_place, mine).otherwise(c)).alias("o"), (a["k"] + F.when(is_place, 1).otherwise(0)).alias("k"))
 
-    punctuated = F.aggregate(F.split(entity, ""), start, step, lambda a: a["o"])
+    punctuated = F.aggregate(F.split(entity, ""), start, step, lambda a: F.concat(a["o"], F.substring(surrogate, a["k"] + 1, F.length(surrogate))))
     cased = F.when(entity == F.upper(entity), F.upper(surrogate)).otherwise(surrogate)
     title = F.regexp_extract(entity, rf"^(?:{_TITLES})\.? ", 0)
     return F.when(kind.isin("card", "phone", "ssn", "iban"), punctuated).when(kind.isin("email", "secret"), cased).when(kind == "ip", surrogate).otherwise(F.concat(title, surrogate))
@@ -139,6 +146,8 @@ def mentions(docs: DataFrame) -> DataFrame:
     found = found.distinct().withColumn("kind", _kind(F.col("entity")))
     title = F.regexp_extract("entity", rf"^({_TITLES})\.? ", 1)
     gender = F.when(title.isin(*MALE_TITLES), "m").when(title.isin(*FEMALE_TITLES), "f").otherwise("n")
+    # The least of a value's mentions counts: for a phone, the longest country code that one of them sets off.
+    gender = F.when(F.col("kind") == "phone", (9 - _country(F.col("kind"), F.col("entity"))).cast("string")).otherwise(gender)
     return found.withColumn("value", _value(F.col("kind"), F.col("entity"))).withColumn("gender", gender)
 
 

@@ -268,6 +268,15 @@ def test_surrogates_never_collide(spark):
     assert len(set(drawn)) == len(drawn) == 420 and not set(drawn) & {(r["kind"], r["value"]) for r in rows}
 
 
+def test_phones_are_distinct_as_written(spark, monkeypatch):
+    monkeypatch.setattr(pii, "_digits", lambda digest, n: F.substring(F.concat(F.translate(F.substring(digest, 1, 2), "abcdef", "258147"), F.lit("5" * 30)), F.lit(1), n))
+    texts = [f"+44 20 {k:04d} 1234" for k in range(30)] + ["+44-20-0003-1234"]
+    got = [r["text"] for r in pii.pseudonymize(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    numbers = [re.sub(r"\D", "", t) for t in got]
+    assert len(set(numbers)) == 30 and numbers[3] == numbers[30] and got[30].startswith("+44-")
+    assert all(n.startswith("44") for n in numbers) and not set(numbers) & {re.sub(r"\D", "", t) for t in texts}
+
+
 def test_surnames_do_not_run_out(spark, monkeypatch):
     monkeypatch.setattr(pii, "SYLLABLES", {"latin": ("ba",) * 8 + ("den",) * 8, "cyrillic": ("ба",) * 8 + ("ден",) * 8})
     names = [(f"{a}{b}", g) for a in ("Foo", "Bar", "Иван") for b in "abcdefghijklmnopqrst" for g in "m"]
