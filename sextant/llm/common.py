@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: White space of the word pattern ``[^\x20\x09-\x0D]+``, as a Java character class.
 SPACE = r"[ \t\n\x0B\f\r]"
+#: Largest written table, of a few numbers a row, that is sent to all executors.
+BROADCAST_ROWS = 300_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -54,14 +56,9 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def bucketed(df: DataFrame, key: str, tag: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder, bucketed by ``key``: joins on the key do not shuffle it again."""
-    spark = df.sparkSession
-    name = f"sextant_{tag}_{uuid.uuid4().hex}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    with shuffles_dropped(spark):
-        df.write.bucketBy(buckets, key).format("parquet").option("compression", "zstd").option("path", work_path(spark, tag)).saveAsTable(name)
-    return spark.table(name)
+def joined(left: DataFrame, right: DataFrame, key: str | list[str], how: str = "inner") -> DataFrame:
+    """``left`` joined with the written table ``right``, which is sent to all executors only if it has ``BROADCAST_ROWS`` rows at most; else both are shuffled."""
+    return left.join(F.broadcast(right) if right.count() <= BROADCAST_ROWS else right, key, how)
 
 
 def words(text: Column) -> Column:

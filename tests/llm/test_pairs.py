@@ -128,7 +128,7 @@ def lines_of(texts, ids):
 def brute_lines(texts, ids):
     out, seen = defaultdict(list), []
     for i, k, s in lines_of(texts, ids):
-        if len(s) >= 5:
+        if s:
             if any(9 * len(s & o) >= 4 * (len(s) + len(o)) for o in seen):
                 out[i].append(k)
             seen.append(s)
@@ -166,6 +166,31 @@ def test_line_dedup_of_short_lines(spark, tmp_path):
     assert [r["text"] for r in corpus_pipeline.line_stage(spark, twice, "").orderBy("doc_id").collect()][1] == "other words in here now"
 
 
+def test_line_dedup_of_a_large_family_and_frequent_words(spark, monkeypatch):
+    rng = random.Random(16)
+    base = sentence(rng, 60, 500)
+    texts = [edited(rng, base, rng.choice((1, 3, 5))) for _ in range(250)]  # chains of near copies, some of them over the threshold
+    texts += [" ".join(f"f{rng.randrange(9)}" for _ in range(rng.choice((6, 9, 14)))) for _ in range(150)]  # frequent words only
+    texts += [" ".join(f"{k} {x}" for x in range(500)) for k in "ab"] + [" ".join(f"a {x}" for x in range(480))]
+    got = lambda: {r["doc_id"]: r["removed"] for r in L.report(table(spark, texts)).collect() if r["removed"]}
+    expected = brute_lines(texts, range(len(texts)))
+    assert got() == expected
+    monkeypatch.setattr(L, "FREQUENT", 4 * 3)  # words counted eight times or more are keys only as pairs
+    assert got() == expected
+
+
+def test_rarity_is_no_column_of_lines(spark):
+    plans = []
+    docs = table(spark, ["a b c d e", "a b c d f"]).select("doc_id", "text")
+    real = L.materialize
+    L.materialize = lambda df, tag: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()) if tag == "lines" else None) or real(df, tag)
+    try:
+        L._table(L._lines(docs), L._rarity(docs, 10), 1, 10)
+    finally:
+        L.materialize = real
+    assert plans and " AS levels" not in plans[0]
+
+
 def test_line_dedup_documents(spark):
     line, other = "a line with five words", "and one more line of words"
     texts = [f"{line}\nx\n{other}", f"y\n{line}\n", line, "short line", None, ""]
