@@ -61,6 +61,13 @@ def joined(left: DataFrame, right: DataFrame, key: str | list[str], how: str = "
     return left.join(F.broadcast(right) if right.count() <= BROADCAST_ROWS else right, key, how)
 
 
+def without(docs: DataFrame, bad: DataFrame) -> DataFrame:
+    """``docs`` without the rows named by ``bad``: (doc_id, __key), the key being ``xxhash64(text)``; ``bad`` is written first, and sent to all only if it is small."""
+    bad = materialize(bad.distinct().withColumnRenamed("doc_id", "__id"), "bad")
+    small = F.broadcast(bad) if bad.count() <= BROADCAST_ROWS else bad
+    return docs.join(small, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key")), "left_anti")
+
+
 def words(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text, in order; null and blank texts have none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), lambda w: w != "")

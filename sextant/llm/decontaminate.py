@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sextant.functions.text import let
-from sextant.llm.common import materialize
+from sextant.llm.common import materialize, without
 
 SHINGLE, RADIUS, SIMILARITY, BROADCAST_ROWS = 5, 20, 0.8, 1_000_000
 BLOCKS, BLOCK_BITS, NEAR = 8, 8, 2
@@ -103,5 +103,4 @@ def matches(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, similar
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Documents that hold no window similar to an item, with all their columns."""
-    bad = materialize(matches(docs, benchmark).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct(), "leaks")
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key")), "left_anti")
+    return without(docs, matches(docs, benchmark).select("doc_id", F.col("text_key").alias("__key")))
