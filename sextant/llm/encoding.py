@@ -2,8 +2,9 @@
 
 A text is cut before every blank that stands between two characters that are no white space. Both supported
 pre-tokenizers end a pre-token there whatever follows, so the ids of the pieces, one after the other, are the ids
-of the text. Texts where a blank touches other white space are cut at white-space runs instead, and texts
-with characters on whose class Python and the library differ are encoded whole.
+of the text. A block of texts is cut by Arrow, and each distinct piece of it is looked up once. Texts where a blank touches other white
+space are cut at white-space runs instead; texts with characters on whose class Python and the library differ, or
+with the content of an added token in them, are encoded whole.
 """
 
 from __future__ import annotations
@@ -14,12 +15,14 @@ import zlib
 from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
-_TOUCHING = re.compile(r" \s|\s | \Z|\A ")
-_ODD = "\x1c\x1d\x1e\x1f"
-#: White space other than blank and newline; only texts with one of these need the slower test.
-_RARE = "\t\r\x0b\x0c\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_ODD = "\x1c-\x1f"
+#: White space other than the blank.
+_OTHER = "\\t\\n\\v\\f\\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_TOUCHING = f"[ {_OTHER}] | [{_OTHER}]|^ | $"
 _RUNS = re.compile(r"\s*\S+|\s+")
 # The published pre-tokenizer patterns of the two vocabularies.
 _BYTE_LEVEL = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -33,22 +36,16 @@ def _byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(other)}
 
 
-def _touching(t: str) -> bool:
-    """Does a blank of the text stand beside other white space or at an end?"""
-    if any(c in t for c in _RARE):
-        return bool(_TOUCHING.search(t))
-    return "  " in t or " \n" in t or "\n " in t or t[:1] == " " or t[-1:] == " "
-
-
 class Encoder:
-    """Encodes texts to ids; at most ``capacity`` pieces are remembered, then the cache starts anew."""
+    """Encodes texts to ids; once ``capacity`` pieces are remembered, only those of the last block stay."""
 
     def __init__(self, path: str, capacity: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
         self.model, self.capacity = self.tok.model, capacity
+        added = [re.escape(t.content) for t in self.tok.get_added_tokens_decoder().values()]
+        self.whole = "(?i)" + "|".join([f"[{_ODD}]", *added])
         self.words = self.tok.normalizer is not None
         self.to_alphabet = {k: v for k, v in _byte_alphabet().items()}
         self._reset()
@@ -58,6 +55,14 @@ class Encoder:
         self.parts: dict[str, int] = {}
         self.inner, self.first = _Pieces(self, " "), _Pieces(self, "")
 
+    def _shrink(self, pieces: list[str]) -> None:
+        """Forgets all pieces but these."""
+        old = {p: self.inner[p] for p in pieces if p in self.inner}
+        flat, start, size = self.flat, self.start, self.size
+        self._reset()
+        for p, at in old.items():
+            self.inner[p] = self.add(flat[start[at] : start[at] + size[at]])
+
     def _parts(self, piece: str) -> list[str]:
         """Pre-tokens of a piece of Latin-1 characters."""
         if self.words:
@@ -92,28 +97,39 @@ class Encoder:
         self.flat.extend(ids)
         return len(self.size) - 1
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text, as unsigned 32-bit arrays."""
+    def _gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces at these places, one after the other, and where each one ends."""
+        flat, start, size = (np.frombuffer(x, k) if len(x) else np.zeros(0, k) for x, k in ((self.flat, np.uint32), (self.start, np.int64), (self.size, np.int32)))
+        n = size[at].astype(np.int64)
+        ends = np.cumsum(n)
+        return flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(start[at] - (ends - n), n)], ends
+
+    def encode(self, texts) -> list[np.ndarray]:
+        """Ids of each text (an Arrow string array or a list), as unsigned 32-bit arrays; null is the empty text."""
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        if not len(texts):
+            return []
+        whole, touching = (pc.match_substring_regex(texts, x) for x in (self.whole, _TOUCHING))
+        apart = pc.or_(whole, touching)
+        lists = pc.split_pattern(pc.if_else(apart, "", texts), " ")
+        offsets = lists.offsets.to_numpy()
+        coded = lists.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
+        offsets, pieces = offsets - offsets[0], coded.dictionary.to_pylist()
         if len(self.inner) + len(self.first) > self.capacity:
-            self._reset()
-        cut: list = []
-        for t in texts:
-            if any(c in t for c in _ODD):
-                cut.append(np.array([self.first.whole(t)]))
-            elif _touching(t):
-                cut.append(np.fromiter(map(self.first.__getitem__, _RUNS.findall(t)), np.int64))
+            self._shrink(pieces)
+        codes = coded.indices.to_numpy()
+        at = np.fromiter(map(self.inner.__getitem__, pieces), np.int64, len(pieces))[codes]
+        at[offsets[:-1]] = [self.first[pieces[k]] for k in codes[offsets[:-1]].tolist()]
+        ids, ends = self._gather(at)
+        bounds = np.concatenate([[0], ends])[offsets].tolist()
+        out = [ids[a:b] for a, b in zip(bounds, bounds[1:])]
+        for k in np.flatnonzero(apart.to_numpy(zero_copy_only=False)).tolist():
+            text = texts[k].as_py()
+            if whole[k].as_py():
+                out[k] = np.array(self.tok.encode(text, add_special_tokens=False).ids, np.uint32)
             else:
-                head, *rest = t.split(" ")
-                at = np.empty(1 + len(rest), np.int64)
-                at[0] = self.first[head]
-                at[1:] = np.fromiter(map(self.inner.__getitem__, rest), np.int64, len(rest))
-                cut.append(at)
-        flat, start, size = (np.frombuffer(x, k) if len(x) else np.zeros(0, k) for x, k in ((self.flat, np.uint32), (self.start, np.int64), (self.size, np.int32)))
-        out = []
-        for at in cut:
-            n = size[at].astype(np.int64)
-            ends = np.cumsum(n)
-            out.append(flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(start[at] - (ends - n), n)])
+                runs = _RUNS.findall(text)
+                out[k] = self._gather(np.fromiter(map(self.first.__getitem__, runs), np.int64, len(runs)))[0]
         return out
 
 
@@ -128,9 +144,6 @@ class _Pieces(dict):
         self[piece] = at = self.encoder.place(self.lead + piece)
         return at
 
-    def whole(self, text: str) -> int:
-        return self.encoder.add(self.encoder.tok.encode(text, add_special_tokens=False).ids)
-
 
 _ENCODERS: dict[str, Encoder] = {}
 
@@ -142,20 +155,15 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def batches(column, most: int = 4 << 20):
-    """(first row, texts) of an Arrow string column in blocks of about ``most`` characters; null is the empty text."""
-    block, at, n = [], 0, 0
-    for k, x in enumerate(column):
-        t = x.as_py() or ""
-        block.append(t)
-        n += len(t)
-        if n >= most:
-            yield at, block
-            block, at, n = [], k + 1, 0
-    if block:
-        yield at, block
+def batches(column: pa.Array, most: int = 4 << 20):
+    """(first row, texts) of an Arrow string column in blocks of about ``most`` bytes."""
+    ends, at = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy().astype(np.int64)), 0
+    while at < len(column):
+        upto = min(len(column), 1 + int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most)))
+        yield at, column.slice(at, upto - at)
+        at = upto
 
 
 def crc32(ids: np.ndarray) -> int:
     """Unsigned crc32 of ids as little-endian unsigned 32-bit integers."""
-    return zlib.crc32(ids.astype("<u4").tobytes())
+    return zlib.crc32(np.ascontiguousarray(ids, "<u4"))
