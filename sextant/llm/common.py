@@ -14,7 +14,7 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: White space of the word pattern ``[^\x20\x09-\x0D]+``, as a Java character class.
 SPACE = r"[ \t\n\x0B\f\r]"
 #: Largest written table, of a few numbers a row, that is sent to all executors.
-BROADCAST_ROWS = 300_000
+BROADCAST_ROWS = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
