@@ -261,6 +261,29 @@ def test_texts_with_any_entity_are_searched(spark):
     assert [alone[r["doc_id"]] for r in got if r["n_entities"] != 1 or r["text"] == alone[r["doc_id"]]] == []
 
 
+def test_long_secrets_families_and_accounts(spark):
+    texts = ["0a" * 46, "sk-" + "aB3" * 30, "+49 30 1234567", "tel +49301234567", "GB82 WEST 1234 5698 7654 32", "Mr John Smith. John Smith and Johnny Smithson; Mr Smith", "Mr Smith", "nothing"]
+    rows = [(i, t, 9, "x") for i, t in enumerate(texts)] + [(None, texts[6], 9, "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, value int, kind string")
+    out = pii.pseudonymize(docs)
+    assert out.columns == [*docs.columns, "n_entities"]
+    got = {r["doc_id"]: r["text"] for r in out.collect()}
+    assert all(len(got[i]) == len(texts[i]) and got[i] != texts[i] for i in (0, 1)) and got[1].startswith("sk-") and got[7] == "nothing"
+    assert got[2].startswith("+49 ") and re.sub(r"\D", "", got[2]) == re.sub(r"\D", "", got[3])
+    account = got[4].replace(" ", "")
+    assert account != texts[4].replace(" ", "") and account[:2] == "GB" and int("".join(str(int(c, 36)) for c in account[4:] + account[:4])) % 97 == 1
+    first, last = re.match(r"Mr (\w+) (\w+)\.", got[5]).groups()
+    assert got[5] == f"Mr {first} {last}. {first} {last} and Johnny Smithson; Mr {last}" and got[6] == got[None] == f"Mr {last}"
+
+
+def test_both_ways_of_joining_replacements(spark, monkeypatch):
+    texts = ["a@b.example 12", "none", "+33 1 23 45 67 89", None, "0123"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    one = sorted(pii.pseudonymize(docs).collect(), key=str)
+    monkeypatch.setattr(pii, "BROADCAST_TEXTS", -1)
+    assert sorted(pii.pseudonymize(docs).collect(), key=str) == one
+
+
 def test_surrogates_never_collide(spark):
     values = spark.createDataFrame([("ssn", f"{n:09d}", "n") for n in range(400)] + [("ip", f"240.0.0.{n}", "n") for n in range(20)], "kind string, value string, gender string")
     rows = pii.mapping(values, "k").collect()
