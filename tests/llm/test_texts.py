@@ -195,7 +195,7 @@ def test_labelled_pages_are_found_again():
     for page in PAGES:
         main = re.sub(r"<(?:/?(?:b|i|a)\b)[^>]*>", "", page.split("<!--main-->")[1].split("<!--/main-->")[0])
         expected = [x for x in (" ".join(y.split()) for y in re.split(r"<[^>]*>", main)) if x]
-        assert htmlmain.main_text(page).split("\n") == expected
+        assert htmlmain.main_text(page).split("\n") == expected, page
     w = htmlmain.weights()
     assert w["word"] > 0 and all(v < 0 for k, v in w.items() if k not in ("word", "space", "inset"))
 
@@ -211,6 +211,15 @@ def test_labelled_pages_are_found_again():
         ("<script>var a = '<p>x</p>'</script><p>Real <b>bold</b>text</p><!-- <p>gone</p>", "Real boldtext"),
         ("<article><p>The post itself.</p></article><section class='comments'><article><p>I like it</p></article></section>", "The post itself."),
         ("<nav>open menu<article><p>body words are here", "body words are here"),
+        ('<div class="layout has-sidebar"><article><p>one two three</p></article></div>', "one two three"),
+        ('<div class="content comments-open"><p>one two three</p></div>', "one two three"),
+        ('<div id="content" class="share-enabled"><p>one two three</p></div>', "one two three"),
+        ('<div class="ad-free-content"><p>one two three</p></div>', "one two three"),
+        ('<form id=all><div class="sidebar-left"><article><p>one two</p></article></div></form>', "one two"),
+        ("<article><h2>Short</h2><p>Text of the first part.</p><img><hr><img><hr><img><ul><li><a href=a>x</a></li><li><a href=b>y</a></li></ul><table><tr><td>1</td><td>2</td></tr></table><p>End of it all.</p></article>", "Short\nText of the first part.\nx\ny\n1\n2\nEnd of it all."),
+        ("<div><h1>Head</h1><p>A paragraph of several plain words stands here.</p></div><ul><li><a href=a>x</a></ul>", "Head\nA paragraph of several plain words stands here."),
+        ("<article><p class=advert>buy<p>Text one here.<ul><li class=share>share<li>item</ul><p>Text two.</article>", "Text one here.\nitem\nText two."),
+        ("<aside><article><p>teaser words</p></article></aside><div class=post><p>The real words of this page are here.</p></div>", "The real words of this page are here."),
     ],
 )
 def test_pages(page, expected):
