@@ -18,12 +18,21 @@ BROADCAST_ROWS = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where it is unset."""
+    """The folder that driver and executors share (spark.checkpoint.dir). Only a local master may do without one and gets a temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="sextant-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+    return qualified(spark, base.rstrip("/"))
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme of its file system, as Spark reads it."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    full = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(where).toString()
+    return "file:///" + full[5:].lstrip("/") if full.startswith("file:") else full
 
 
 def work_path(spark: SparkSession, tag: str) -> str:

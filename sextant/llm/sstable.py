@@ -9,11 +9,12 @@ A shard is one file: data blocks, a sparse index, a Bloom filter and a footer. I
 * footer of 64 bytes: u64 index position, u64 index length, u64 filter position, u64 filter length, u64 documents, u64 ids, u32 id width flag, u32 crc32 of the index, 8 bytes magic
 
 Keys are the doc_id as nine bytes whose order is that of the ids: 0 and eight zero bytes for null, else 1 and the id plus 2^63, big-endian.
-Documents are range-partitioned by doc_id, so the shards in order of their number hold all keys in ascending order.
-A shard is written under another name and then renamed, so a task that runs twice leaves one whole file.
+Documents are range-partitioned by doc_id and text hash, about ``shard_bytes`` of text to a task, so the shards in order of their names hold all keys in ascending order;
+a task begins another file beyond ``MAX_FILE`` bytes, so no file but that of one huge document nears the 2 GB that a reader takes whole.
+A shard is written under another name and then renamed, so a task that runs twice leaves whole files.
 
-Defined cases: a null or empty text is the end id alone; repeated doc_ids stay next to each other (ordered by text), and a look-up
-returns all of them; an empty table writes no shard; other columns are ignored; a text of any length is one entry in one block.
+Defined cases: a null or empty text is the end id alone; repeated doc_ids stay next to each other (ordered by text hash and text), in one shard or in
+neighbouring ones, and a look-up in each of these returns all of them; an empty table writes no shard; other columns are ignored; a text of any length is one entry in one block.
 """
 
 from __future__ import annotations
@@ -29,9 +30,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sextant.llm import encoding
-from sextant.llm.common import work_path
+from sextant.llm.common import qualified, work_path
 
 MAGIC, PROBES, BITS_PER_KEY = b"SXTSST01", 7, 10
+#: Text for one task, and size of a file beyond which the task begins another.
+SHARD_BYTES, MAX_FILE = 16 << 20, 256 << 20
 _FOOTER = struct.Struct("<6Q2I8s")
 
 
@@ -157,32 +160,48 @@ class Shard:
         return out
 
 
-def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int, shards: int, id_col: str = "doc_id", text_col: str = "text", wide: bool = False) -> DataFrame:
-    """Encode documents and write them to ``path``; returns the manifest (shard, file, docs, ids), one row per shard."""
+def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int, shard_bytes: int = SHARD_BYTES, id_col: str = "doc_id", text_col: str = "text", wide: bool = False) -> DataFrame:
+    """Encode documents and write them to ``path``; returns the manifest (shard, file, docs, ids), one row per file."""
+    path = qualified(docs.sparkSession, path)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.repartitionByRange(shards, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.count("*"))).first()[0]
+    order = [F.col("doc_id").asc_nulls_first(), F.col("h").asc()]
+    rows = rows.withColumn("h", F.xxhash64("text")).repartitionByRange(max(1, -(-size // shard_bytes)), *order)
+    rows = rows.sortWithinPartitions(*order, "text").select("doc_id", "text")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
         from pyspark import TaskContext
 
         enc, task = encoding.encoder(tokenizer), TaskContext.get()
-        where, folder = fs.FileSystem.from_uri(path) if ":" in path else (fs.LocalFileSystem(), path)
-        name, temp = f"{folder}/{task.partitionId():08d}.sst", f"{folder}/.{task.partitionId():08d}-{task.taskAttemptId()}"
+        where, folder = fs.FileSystem.from_uri(path)
         writer = out = None
+        done: list[tuple] = []
+
+        def close() -> None:
+            name = f"{task.partitionId():08d}-{len(done):04d}.sst"
+            writer.finish()
+            out.close()
+            where.move(temp, f"{folder}/{name}")
+            done.append((task.partitionId(), name, writer.docs, writer.ids))
+
         for part in parts:
             for first, texts in encoding.batches(part.column(1)):
                 for k, ids in enumerate(enc.encode(texts)):
+                    if writer is not None and writer.at > MAX_FILE:
+                        close()
+                        writer = None
                     if writer is None:
+                        temp = f"{folder}/.{task.partitionId():08d}-{len(done):04d}-{task.taskAttemptId()}"
                         where.create_dir(folder)
                         out = where.open_output_stream(temp)
                         writer = ShardWriter(out, wide)
                     writer.add(key_of(part.column(0)[first + k].as_py()), np.append(ids, np.uint32(end_id)))
         if writer is not None:
-            writer.finish()
-            out.close()
-            where.move(temp, name)
-            yield pa.RecordBatch.from_pydict({"shard": pa.array([task.partitionId()], pa.int32()), "file": [name.rsplit("/", 1)[-1]], "docs": [writer.docs], "ids": [writer.ids]})
+            close()
+        if done:
+            shard, file, n, total = zip(*done, strict=True)
+            yield pa.RecordBatch.from_pydict({"shard": pa.array(shard, pa.int32()), "file": list(file), "docs": list(n), "ids": list(total)})
 
     return rows.mapInArrow(run, "shard int, file string, docs long, ids long")
 
@@ -205,14 +224,14 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(run, "file string, doc_id long, position long, start long, n_tokens long, ids_crc32 long")
 
 
-def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 2, docs_per_shard: int = 4096) -> DataFrame:
+def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 2, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Write documents as shards in the shared folder, read the files back and say where each document lies in them.
 
-    Only the manifest, a row per shard, comes to the driver: it gives each shard its first position.
+    Only the manifest, a row for each ``shard_bytes`` of text, comes to the driver: it gives each shard its first position.
     """
     spark = docs.sparkSession
     path = work_path(spark, "sst")
-    manifest = sorted(write_shards(docs, path, tokenizer, end_id, max(1, -(-docs.count() // docs_per_shard))).collect())
+    manifest = sorted(write_shards(docs, path, tokenizer, end_id, shard_bytes).collect(), key=lambda r: r["file"])
     if not manifest:
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
     firsts, total = [], 0

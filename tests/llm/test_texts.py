@@ -11,13 +11,14 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
 from sextant.llm import encoding, histshard, htmlmain, ordinal, packing, pii, quality, sstable  # noqa: E402
 
 BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
-TEXTS = ["plain words here", "", None, "  two  blanks ", "tab\tx\n\nnew", "it's we'll 12 345", "日本語 テスト", "é ́x", "a\x1c b", "nb\xa0 sp", "<|endoftext|> x", "ΣΑΣ İ", "word " * 3000]
+TEXTS = ["plain words here", "", None, "  two  blanks ", "tab\tx\n\nnew", "it's we'll 12 345", "日本語 テスト", "é ́x", "a\x1c b", "nb\xa0 sp", "<|endoftext|> x", "a <|ENDOFTEXT|>b<|startoftext|>", "ΣΑΣ İ", "word " * 3000]
 
 
 @pytest.mark.parametrize("path", [BYTES, WORDS])
@@ -25,11 +26,12 @@ def test_encoding_equals_the_library(path):
     enc = encoding.Encoder(path, capacity=5)
     texts = [t or "" for t in TEXTS]
     for _ in range(2):
-        assert [list(x) for x in enc.encode(texts)] == [e.ids for e in enc.tok.encode_batch(texts, add_special_tokens=False)]
+        plain = Tokenizer.from_file(path)
+        assert [list(x) for x in enc.encode(texts)] == [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.text(alphabet="ab é\n\t'.\xa0　\x1d12ß", max_size=30))
+@given(st.text(alphabet="ab é\n\t'.\xa0　\x1d\x85\u200312ß", max_size=30))
 def test_encoding_any_text(text):
     for path in (BYTES, WORDS):
         enc = encoding.encoder(path)
@@ -113,6 +115,18 @@ def test_packing(spark):
     assert packing.pack(docs.limit(0), BYTES).count() == 0
 
 
+def test_packing_does_not_depend_on_partitions(spark):
+    rng = random.Random(4)
+    docs = spark.createDataFrame([(i, " ".join(f"w{rng.randrange(99)}" for _ in range(rng.choice((3, 20, 90, 400)))), 1, "x") for i in range(600)], "doc_id long, text string, start int, offset string")
+    for n in (1, 60):
+        rows = packing.pack(docs.repartition(n, "doc_id"), BYTES, window=512).collect()
+        assert len({(r["doc_id"], r["start"]) for r in rows}) == len(rows) and {r["doc_id"] for r in rows} == set(range(600))
+        used = Counter()
+        for r in rows:
+            used[r["sequence_id"]] += r["length"]
+        assert max(used.values()) <= 512 and sum(used.values()) / (512 * len(used)) > 0.99
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.dictionaries(st.integers(-(1 << 62), 1 << 62), st.lists(st.integers(0, 65535), max_size=9), max_size=40), st.integers(1, 200))
 def test_shard_round_trip(docs, block_bytes):
@@ -144,15 +158,25 @@ def test_repeated_keys_and_damage():
         sstable.Shard(out.getvalue()[:-1] + b"x")
 
 
-def test_sstable_round_trip(spark):
-    docs = spark.createDataFrame([(i * 3, t) for i, t in enumerate(TEXTS)] + [(None, "x"), (3, "again")], "doc_id long, text string")
-    got = sorted(((r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in sstable.round_trip(docs, WORDS, docs_per_shard=4).collect()), key=lambda r: r[1])
-    tok, start = encoding.encoder(WORDS).tok, 0
-    texts = sorted(((r["doc_id"], r["text"]) for r in docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
-    for (doc_id, text), row in zip(texts, got, strict=True):
-        ids = tok.encode(text or "", add_special_tokens=False).ids + [2]
-        assert row == (doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
-        start += len(ids)
+def test_sstable_round_trip(spark, monkeypatch):
+    """Hot and null ids, a very long text, clashing columns, several files of one task."""
+    rows = [(i * 3, t) for i, t in enumerate(TEXTS)] + [(None, f"x {k}") for k in range(9)] + [(3, f"again {k}") for k in range(40)] + [(7, "long words " * 30_000), (8, "a")]
+    docs = spark.createDataFrame([(i, t, 1, "f") for i, t in rows], "doc_id long, text string, h int, file string")
+    enc = encoding.encoder(WORDS)
+    expected = {}
+    for i, t in rows:
+        ids = enc.tok.encode(t or "", add_special_tokens=False).ids + [2]
+        expected.setdefault(i, []).append((len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+    for most in (sstable.MAX_FILE, 100):
+        monkeypatch.setattr(sstable, "MAX_FILE", most)
+        got = sorted(sstable.round_trip(docs, WORDS, shard_bytes=500).collect(), key=lambda r: r["start"])
+        assert [r["doc_id"] for r in got] == sorted((i for i, _ in rows), key=lambda i: (i is not None, i or 0))
+        start, found = 0, {}
+        for r in got:
+            assert r["start"] == start
+            start += r["n_tokens"]
+            found.setdefault(r["doc_id"], []).append((r["n_tokens"], r["ids_crc32"]))
+        assert {i: sorted(x) for i, x in found.items()} == {i: sorted(x) for i, x in expected.items()}
     assert sstable.round_trip(docs.limit(0), WORDS).count() == 0
 
 
