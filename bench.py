@@ -13,10 +13,11 @@ from pyspark.sql import SparkSession
 from sextant import queries as Q
 from sextant.operators import keyword, trigram, vector
 from sextant.operators.keyword import KeywordIndex
+from sextant.plans.router import SearchRouter
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "4")
-RUNS = int(os.environ.get("BENCH_RUNS", "3"))
+RUNS = int(os.environ.get("BENCH_RUNS", "5"))
 
 
 def seconds(run) -> float:
@@ -39,7 +40,9 @@ def main() -> None:
     with tempfile.TemporaryDirectory() as folder:
         took["build_keyword_index"] = seconds(lambda: KeywordIndex.build(docs).write(f"{folder}/keyword"))
         took["build_trigram_index"] = seconds(lambda: trigram.build(docs).repartitionByRange("gram").sortWithinPartitions("gram").write.mode("overwrite").parquet(f"{folder}/grams"))
+        took["build_vectors"] = seconds(lambda: vector.embed_tokens(docs).write.mode("overwrite").parquet(f"{folder}/vectors"))
         index, grams = KeywordIndex.read(spark, f"{folder}/keyword"), spark.read.parquet(f"{folder}/grams")
+        router = SearchRouter(index, grams, spark.read.parquet(f"{folder}/vectors"), vector.hashing_embedder())
         runs = {
             "bm25_or": lambda: keyword.search_or(index, ["the", "ion"]).collect(),
             "bm25_and": lambda: keyword.search_and(index, ["the", "and"]).collect(),
@@ -48,7 +51,8 @@ def main() -> None:
             "substring": lambda: trigram.search_substring(grams, "thing of").collect(),
             "fuzzy": lambda: trigram.search_fuzzy(grams, "thingof and").collect(),
             "knn_cosine": lambda: vector.knn_of(vectors, 0).collect(),
-            "hybrid": lambda: Q.QUERIES["hybrid_fusion"](spark, SF_DIR).collect(),
+            "hybrid": lambda: router.search("the thing").collect(),
+            "semantic": lambda: router.search("how is the thing that was").collect(),
             "store_search": lambda: Q.catalog.search(snippets, "the").collect(),
             "tag_counts": lambda: Q.catalog.tag_counts(snippets).collect(),
             "detect_language": lambda: Q.QUERIES["detect_language"](spark, SF_DIR).write.format("noop").mode("overwrite").save(),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sextant.functions.text import fold
+from sextant.functions.text import fold, let
 
 # Phrases and words that the scores look for.
 STARTERS = (
@@ -62,47 +62,67 @@ def trimmed(text: Column) -> Column:
     return F.regexp_replace(text, r"^[ \t\n\x0B\f\r]+", "")
 
 
-def code_points(text: Column) -> Column:
-    """Code score of a trimmed text, in hundredths up to 100."""
-    score = _if(_any(text, STRONG), 40) + 20 * F.least(_hits(fold(text), KEYWORDS), F.lit(2))
-    score += _if(_count(text, "()") >= 2, 15) + _if(_count(text, "{}") >= 2, 20) + _if(text.contains(";"), 15) + _if(_count(text, "=+-*/%") >= 2, 10)
-    score += _if(text.contains("    ") | text.contains("\t"), 10) + _if(_count(text, "\n") >= 2, 10)
+def _code(t: Column, low: Column) -> Column:
+    score = _if(_any(t, STRONG), 40) + 20 * F.least(_hits(low, KEYWORDS), F.lit(2))
+    score += _if(_count(t, "()") >= 2, 15) + _if(_count(t, "{}") >= 2, 20) + _if(t.contains(";"), 15) + _if(_count(t, "=+-*/%") >= 2, 10)
+    score += _if(t.contains("    ") | t.contains("\t"), 10) + _if(_count(t, "\n") >= 2, 10)
     return F.least(score, F.lit(100))
 
 
 def _ratio_points(text: Column) -> Column:
     """20 under 5 % of special bytes against letters, digits and blanks, 10 under 10 %."""
-    plain = F.length(F.regexp_replace(text, r"[^A-Za-z0-9 ]", ""))
-    special = F.octet_length(text) - plain - _count(text, "\n\r\t")
-    return F.when(plain == 0, 0).when(20 * special < plain, 20).when(10 * special < plain, 10).otherwise(0)
 
+    def points(plain: Column) -> Column:
+        special = F.octet_length(text) - plain - _count(text, "\n\r\t")
+        return F.when(plain == 0, 0).when(20 * special < plain, 20).when(10 * special < plain, 10).otherwise(0)
+
+    return let(F.length(F.regexp_replace(text, r"[^A-Za-z0-9 ]", "")), points)
+
+
+def _prose(t: Column, low: Column) -> Column:
+    """(prose, seventy): the score, and whether it is a 70 made of 50 + 10 + 10, which lies above 0.7 in single precision, as 50 + 20 does not."""
+    question = t.endswith("?") | _any(low, QUESTIONS)
+    capital = t.rlike(r"^[A-Z]") & (_count(t, " ") >= 3)
+    parts = F.struct(_starts(low).alias("starts"), F.least(_hits(low, CONVERSATIONAL), F.lit(3)).alias("talk"), _ratio_points(t).alias("ratio"), capital.alias("capital"), question.alias("question"))
+
+    def total(p: Column) -> Column:
+        score = F.least(_if(p["starts"], 50) + _if(p["question"], 25) + 10 * p["talk"] + p["ratio"] + _if(p["capital"], 10), F.lit(100))
+        tens = _if(p["talk"] == 1, 1) + _if(p["ratio"] == 10, 1) + _if(p["capital"], 1)
+        return F.struct(score.alias("prose"), (p["starts"] & (score == 70) & (tens == 2)).alias("seventy"))
+
+    return let(parts, total)
 
-def prose_points(text: Column) -> Column:
-    """Natural-language score of a trimmed text, in hundredths up to 100."""
-    low = fold(text)
-    question = text.endswith("?") | _any(low, QUESTIONS)
-    capital = text.rlike(r"^[A-Z]") & (_count(text, " ") >= 3)
-    score = _if(_starts(low), 50) + _if(question, 25) + 10 * F.least(_hits(low, CONVERSATIONAL), F.lit(3)) + _ratio_points(text) + _if(capital, 10)
-    return F.least(score, F.lit(100))
 
+def assess(text: Column) -> Column:
+    """(class, code_score, nl_score) of an input: EMPTY, AMBIGUOUS, CODE or NATURAL_LANG, and the scores in hundredths up to 100. Each part is computed once."""
 
-def _seventy_in_tenths(text: Column) -> Column:
-    """A score of 70 that is 50 + 10 + 10 lies above 0.7 in single precision, one of 50 + 20 does not."""
-    low = fold(text)
-    steps = _if(F.least(_hits(low, CONVERSATIONAL), F.lit(3)) == 1, 1) + _if(_ratio_points(text) == 10, 1) + _if(text.rlike(r"^[A-Z]") & (_count(text, " ") >= 3), 1)
-    return _starts(low) & (prose_points(text) == 70) & (steps == 2)
+    def of(t: Column, code: Column, p: Column) -> Column:
+        prose = p["prose"]
+        natural = ((prose > 50) & (code < 30)) | (prose > 70) | p["seventy"]
+        kind = F.when(t == "", "EMPTY").when(F.octet_length(t) < 3, "AMBIGUOUS").when(t.startswith("#!"), "CODE").when(code > 60, "CODE").when(natural, "NATURAL_LANG").otherwise("AMBIGUOUS")
+        return F.struct(kind.alias("class"), code.alias("code_score"), prose.alias("nl_score"))
+
+    return let(trimmed(text), lambda t: let(fold(t), lambda low: let(_code(t, low), lambda code: let(_prose(t, low), lambda p: of(t, code, p)))))
+
+
+def code_points(text: Column) -> Column:
+    """Code score of a trimmed text, in hundredths up to 100."""
+    return let(text, lambda t: let(fold(t), lambda low: _code(t, low)))
+
+
+def prose_points(text: Column) -> Column:
+    """Natural-language score of a trimmed text, in hundredths up to 100."""
+    return let(text, lambda t: let(fold(t), lambda low: _prose(t, low)))["prose"]
 
 
 def classify(text: Column) -> Column:
     """EMPTY, AMBIGUOUS, CODE or NATURAL_LANG."""
-    t = trimmed(text)
-    code, prose = code_points(t), prose_points(t)
-    natural = ((prose > 50) & (code < 30)) | (prose > 70) | _seventy_in_tenths(t)
-    return F.when(t == "", "EMPTY").when(F.octet_length(t) < 3, "AMBIGUOUS").when(t.startswith("#!"), "CODE").when(code > 60, "CODE").when(natural, "NATURAL_LANG").otherwise("AMBIGUOUS")
+    return assess(text)["class"]
 
 
 def confidence(text: Column) -> Column:
-    return F.abs(code_points(text) - prose_points(text)) / 100.0
+    """Distance of the two scores of a trimmed text."""
+    return let(assess(text), lambda a: F.abs(a["code_score"] - a["nl_score"]) / 100.0)
 
 
 def is_code(text: Column) -> Column:

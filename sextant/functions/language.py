@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 from sextant.functions.text import fold
 
 # Languages by extension, interpreter and name, and the extension of a new file.
-EXTENSIONS = {
-    "bash": "sh bash", "zsh": "zsh", "fish": "fish", "python": "py pyw pyx", "c": "c h", "cpp": "cpp cc cxx hpp hxx", "javascript": "js mjs jsx",
-    "typescript": "ts tsx", "go": "go", "rust": "rs", "ruby": "rb rake", "java": "java", "kotlin": "kt kts", "json": "json", "yaml": "yml yaml",
-    "toml": "toml", "xml": "xml", "sql": "sql", "dockerfile": "dockerfile", "makefile": "mk", "markdown": "md markdown", "lua": "lua", "perl": "pl pm",
-    "php": "php", "swift": "swift", "scala": "scala sc", "r": "r", "haskell": "hs", "elixir": "ex exs", "css": "css", "scss": "scss", "sass": "sass",
-    "less": "less", "html": "html htm", "vim": "vim vimrc",
+BY_EXTENSION = {
+    "sh": "bash", "bash": "bash", "zsh": "zsh", "fish": "fish", "py": "python", "pyw": "python", "pyx": "python", "c": "c", "h": "c",
+    "cpp": "cpp", "cc": "cpp", "cxx": "cpp", "hpp": "cpp", "hxx": "cpp", "js": "javascript", "mjs": "javascript", "jsx": "javascript",
+    "ts": "typescript", "tsx": "typescript", "go": "go", "rs": "rust", "rb": "ruby", "rake": "ruby", "java": "java", "kt": "kotlin",
+    "kts": "kotlin", "json": "json", "yml": "yaml", "yaml": "yaml", "toml": "toml", "xml": "xml", "sql": "sql", "dockerfile": "dockerfile",
+    "mk": "makefile", "md": "markdown", "markdown": "markdown", "lua": "lua", "pl": "perl", "pm": "perl", "php": "php", "swift": "swift",
+    "scala": "scala", "sc": "scala", "r": "r", "hs": "haskell", "ex": "elixir", "exs": "elixir", "css": "css", "scss": "scss",
+    "sass": "sass", "less": "less", "html": "html", "htm": "html", "vim": "vim", "vimrc": "vim",
 }
 INTERPRETERS = {
     "bash": "bash", "sh": "bash", "zsh": "zsh", "fish": "fish", "python": "python", "python2": "python", "python3": "python", "node": "javascript",
@@ -26,7 +28,6 @@ FILE_EXTENSIONS = {
     "python": ".py", "bash": ".sh", "shell": ".sh", "javascript": ".js", "typescript": ".ts", "cpp": ".cpp", "c++": ".cpp", "c": ".c", "go": ".go",
     "rust": ".rs", "ruby": ".rb", "java": ".java", "sql": ".sql", "yaml": ".yaml", "json": ".json", "markdown": ".md",
 }
-BY_EXTENSION = {e: lang for lang, known in EXTENSIONS.items() for e in known.split()}
 
 
 def _lookup(table: dict[str, str], key: Column) -> Column:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sextant.errors import ErrorCode, StoreError
@@ -38,6 +39,11 @@ def in_key_order(snippets: DataFrame) -> DataFrame:
     return snippets.orderBy(F.col("id").cast("string"))
 
 
+def listed(snippets: DataFrame) -> DataFrame:
+    """All snippets with their ``place`` from 1 in key order; no task has to hold them all."""
+    return numbered(snippets.withColumn("__key", F.col("id").cast("string")), "__key", "place").drop("__key")
+
+
 def key_range(table: DataFrame, key: str, first: str, last: str) -> DataFrame:
     """Rows with keys from first to last, both included, in order."""
     return table.where(F.col(key).between(first, last)).orderBy(key)
@@ -47,11 +53,55 @@ def key_scan(table: DataFrame, key: str, start: str, limit: int) -> DataFrame:
     return table.where(F.col(key) >= start).orderBy(key).limit(limit)
 
 
-def is_sorted_and_unique(table: DataFrame, key: str) -> bool:
+def is_unique(table: DataFrame, key: str) -> bool:
     """Does every key occur once?"""
     return table.groupBy(key).count().where("count > 1").isEmpty()
 
 
+def is_in_order(table: DataFrame, key: str) -> bool:
+    """Is every key larger than the one before it, as the table is stored, within each partition and from one to the next?"""
+    rows = table.select(F.col(key).alias("k"), F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("at"))
+    before = F.lag("k").over(Window.partitionBy("p").orderBy("at"))
+    if not rows.withColumn("b", before).where("b >= k OR k IS NULL").isEmpty():
+        return False
+    ends = [tuple(r) for r in rows.groupBy("p").agg(F.min("k"), F.max("k")).orderBy("p").collect()]  # a row a partition
+    return all(a[2] < b[1] for a, b in zip(ends, ends[1:]))
+
+
+def tag_count(snippets: DataFrame, tag: str) -> DataFrame:
+    """(n): snippets with this tag, 0 for an unknown one."""
+    return by_tag(snippets, tag).agg(F.count("*").alias("n"))
+
+
+def tag_exists(snippets: DataFrame, tag: str) -> DataFrame:
+    """(found): has any snippet this tag?"""
+    return by_tag(snippets, tag).limit(1).agg((F.count("*") > 0).alias("found"))
+
+
+def put(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """Rows inserted by key, or replaced where the key is there."""
+    return table.join(rows.select(key), key, "left_anti").unionByName(rows)
+
+
+def insert(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is not there yet are added; the others change nothing."""
+    return table.unionByName(rows.join(table.select(key), key, "left_anti"))
+
+
+def drop_keys(table: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    return table.join(keys.select(key), key, "left_anti")
+
+
+def for_each(table: DataFrame, key: str, visit: Callable[[Row], bool]) -> int:
+    """Visit rows in key order until ``visit`` returns False; how many were visited. Rows come a partition at a time."""
+    n = 0
+    for row in table.orderBy(key).toLocalIterator():
+        n += 1
+        if visit(row) is False:
+            break
+    return n
+
+
 def by_tag(snippets: DataFrame, tag: str) -> DataFrame:
     return snippets.where(F.array_contains("tags", tag))
 
@@ -74,6 +124,11 @@ def tag_counts(snippets: DataFrame) -> DataFrame:
     return snippets.select(F.explode(F.array_distinct("tags")).alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
 
 
+def tags_by_count(snippets: DataFrame) -> DataFrame:
+    """(tag, n), the most frequent first, equals by name."""
+    return tag_counts(snippets).orderBy(F.desc("n"), "tag")
+
+
 def all_tags(snippets: DataFrame) -> DataFrame:
     return snippets.select(F.explode("tags").alias("tag")).distinct()
 
@@ -148,22 +203,30 @@ def bulk_add(snippets: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]
     language = F.when(F.coalesce("language", F.lit("")) == "", detect_language(F.col("content"), F.col("name"))).otherwise(F.col("language"))
     last = snippets.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last"))
     now = F.current_timestamp()
-    numbered = _numbered(good, "name").join(F.broadcast(last))
-    rows = numbered.select((F.col("last") + F.col("number")).alias("id"), "name", "content", language.alias("language"), F.coalesce("description", F.lit("")).alias("description"), "tags", now.alias("created_at"), now.alias("modified_at"), checksum(F.col("content")).alias("checksum"))
+    placed = numbered(good, "name").join(F.broadcast(last))
+    rows = placed.select((F.col("last") + F.col("number")).alias("id"), "name", "content", language.alias("language"), F.coalesce("description", F.lit("")).alias("description"), "tags", now.alias("created_at"), now.alias("modified_at"), checksum(F.col("content")).alias("checksum"))
     return snippets.unionByName(rows), judged.where("reason IS NOT NULL")
 
 
-def _numbered(rows: DataFrame, key: str) -> DataFrame:
-    """``number`` from 1 in the order of a unique key: places within groups by the key's first bytes, plus the sizes of the groups before.
+#: Splitters of a numbering, and the rows of the sample that they are taken from.
+SPLITTERS, SAMPLED = 128, 20_000
 
-    No task has to hold all rows, which one window over the whole table would do.
+
+def numbered(rows: DataFrame, key: str, name: str = "number") -> DataFrame:
+    """``name`` counts from 1 in the order of a unique string key: places within ranges of keys, plus the sizes of the ranges before.
+
+    The ranges are cut at evenly spaced keys of a sample by hash, so names with a common beginning are dealt out too; the numbers are exact
+    wherever the cuts lie. No task has to hold all rows, which one window over the whole table would do.
     """
-    group = F.conv(F.substring(F.hex(F.encode(key, "UTF-8")), 1, 6), 16, 10).cast("long")  # the first three bytes keep the order
+    every = max(1, rows.count() // SAMPLED)
+    sample = [r[0] for r in rows.where(F.pmod(F.xxhash64(key), F.lit(every)) == 0).select(key).orderBy(key).collect()]  # about SAMPLED keys
+    cuts = sorted({sample[len(sample) * k // SPLITTERS] for k in range(1, SPLITTERS)}) if sample else []
+    group = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(key))) if cuts else F.lit(0)
     grouped = rows.withColumn("__g", group)
-    sizes = grouped.groupBy("__g").agg(F.count("*").alias("__n"))
+    sizes = grouped.groupBy("__g").agg(F.count("*").alias("__n"))  # at most SPLITTERS rows
     before = sizes.withColumn("__before", F.sum("__n").over(Window.orderBy("__g").rowsBetween(Window.unboundedPreceding, -1)))
     place = F.row_number().over(Window.partitionBy("__g").orderBy(key))
-    return grouped.join(before.select("__g", "__before"), "__g").select(*rows.columns, (place + F.coalesce("__before", F.lit(0))).alias("number"))
+    return grouped.join(F.broadcast(before.select("__g", "__before")), "__g").select(*rows.columns, (place + F.coalesce("__before", F.lit(0))).alias(name))
 
 
 def bulk_remove(snippets: DataFrame, ids: DataFrame) -> DataFrame:
@@ -331,6 +394,15 @@ class SnippetStore:
     def list_all(self) -> DataFrame:
         return in_key_order(self.table())
 
+    def for_each(self, visit: Callable[[Row], bool]) -> int:
+        return for_each(self.table().withColumn("key", F.col("id").cast("string")), "key", visit)
+
+    def tag_count(self, tag: str) -> int:
+        return tag_count(self.table(), tag).first()["n"]
+
+    def has_tag(self, tag: str) -> bool:
+        return tag_exists(self.table(), tag).first()["found"]
+
     def find_by_tag(self, tag: str) -> DataFrame:
         return by_tag(self.table(), tag).orderBy("id")
 

@@ -1,7 +1,7 @@
 """Inverted index and BM25 search as plans over a postings table.
 
-The index is two tables: postings (term, doc_id, dl, tf, positions), in which the document's length travels with the posting, and one row
-of corpus statistics. A search filters postings by its terms, which Parquet and Catalyst push down to the scan, so the
+The index is three tables: postings (term, doc_id, dl, tf, positions), in which the document's length travels with the posting, document frequencies
+by term, and one row of corpus statistics. A search filters postings by its terms, which Parquet and Catalyst push down to the scan, so the
 work follows the terms' documents; statistics always cover all documents.
 """
 
@@ -10,10 +10,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sextant.functions.text import BOUNDARY, MAX_TOKEN, MIN_TOKEN, WORD, code_text, fold, tokenize
+from sextant.functions.text import BOUNDARY, MAX_TOKEN, MIN_TOKEN, code_text, tokenize
 
 K1, B, LIMIT = 1.2, 0.75, 100
 
@@ -24,36 +24,49 @@ def _long_enough(term: str = "term") -> Column:
 
 @dataclass(frozen=True)
 class KeywordIndex:
-    """postings and a one-row stats table (n, avgdl)."""
+    """postings, a one-row stats table (n, avgdl), and the stored frequencies (term, df, cf) if there are any."""
 
     postings: DataFrame
     stats: DataFrame
+    frequencies: DataFrame | None = None
 
     @staticmethod
     def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", code: bool = False) -> KeywordIndex:
         """Positions are word numbers for text and token numbers for code."""
-        text = code_text(F.col(text_col)) if code else F.col(text_col)
-        rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-        rows = rows.withColumn("dl", F.size(tokenize(F.col("text"))).cast("long")).where("dl > 0")
+        # Texts are dealt by document once; all that follows for a document stays in its task.
+        rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).repartition("doc_id")
         if code:
-            terms = rows.select("doc_id", "dl", F.posexplode(tokenize(F.col("text"))).alias("pos", "term"))
+            terms = rows.select("doc_id", tokenize(code_text(F.col("text"))).alias("tokens")).select("doc_id", F.posexplode_outer("tokens").alias("pos", "term"))
         else:
-            found = rows.select("doc_id", "dl", F.posexplode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("pos", "word"))
-            terms = found.select("doc_id", "dl", "pos", F.explode(F.split("word", BOUNDARY, -1)).alias("raw")).select("doc_id", "dl", "pos", fold(F.col("raw")).alias("term")).where(_long_enough())
-        postings = terms.groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
-        return KeywordIndex(postings, rows.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")))
+            words = F.split(F.btrim("text", F.lit(" \t\n\x0b\f\r")), r"[ \t\n\x0B\f\r]+")
+            found = rows.select("doc_id", words.alias("words")).select("doc_id", F.posexplode_outer("words").alias("pos", "word"))
+            core = F.btrim("word", F.lit(".,;:!?"))  # most words are one token with or without a mark at their end
+            parts = F.when(core.rlike("^[A-Za-z]?[a-z0-9]*$"), F.array(core)).otherwise(F.split("word", BOUNDARY, -1))
+            terms = found.select("doc_id", "pos", parts.alias("parts")).select("doc_id", "pos", F.explode_outer("parts").alias("raw"))
+            terms = terms.select("doc_id", "pos", F.lower("raw").alias("term"))  # tokens are ASCII
+        counted = terms.where(_long_enough()).groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
+        postings = counted.withColumn("dl", F.sum("tf").over(Window.partitionBy("doc_id"))).select("term", "doc_id", "dl", "tf", "positions")
+        lengths = terms.where(_long_enough()).groupBy("doc_id").agg(F.count("*").alias("dl"))
+        return KeywordIndex(postings, lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")))
 
     def write(self, path: str) -> None:
         """Postings sorted by term, so that a term's rows lie in few files and row groups."""
         self.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
-        self.stats.write.mode("overwrite").parquet(f"{path}/stats")
+        written = KeywordIndex(self.postings.sparkSession.read.parquet(f"{path}/postings"), self.stats)
+        lengths = written.postings.groupBy("doc_id").agg(F.first("dl").alias("dl"))
+        lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).write.mode("overwrite").parquet(f"{path}/stats")
+        written.document_frequency().repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
 
     @staticmethod
     def read(spark: SparkSession, path: str) -> KeywordIndex:
-        return KeywordIndex(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/stats"))
+        return KeywordIndex(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/stats"), spark.read.parquet(f"{path}/terms"))
 
     def terms(self) -> DataFrame:
-        return self.postings.select("term").distinct()
+        return self.document_frequency().select("term")
+
+    def has_term(self, term: str) -> DataFrame:
+        """(found): does any document have the term?"""
+        return self.document_frequency().where(F.col("term") == term).agg((F.count("*") > 0).alias("found"))
 
     def with_prefix(self, prefix: str) -> DataFrame:
         """Terms that start with the prefix; none for the empty prefix."""
@@ -61,12 +74,15 @@ class KeywordIndex:
 
     def document_frequency(self) -> DataFrame:
         """(term, df, cf): documents and occurrences of each term; the terms of a document are already one row each."""
+        if self.frequencies is not None:
+            return self.frequencies
         return self.postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
     def scored(self, terms: list[str]) -> DataFrame:
         """(term, doc_id, tf, positions, score) with BM25 for each posting of the terms, unrounded."""
-        hits = self.postings.where(F.col("term").isin(list(dict.fromkeys(terms)))) if terms else self.postings.limit(0)
-        df = hits.groupBy("term").agg(F.count("*").alias("df"))  # one row a query term
+        wanted = F.col("term").isin(list(dict.fromkeys(terms))) if terms else F.lit(False)
+        hits = self.postings.where(wanted)
+        df = self.document_frequency().where(wanted).select("term", "df")  # one row a query term
         both = hits.join(F.broadcast(df), "term").join(F.broadcast(self.stats))  # and one row of statistics
         return both.select("term", "doc_id", "tf", "positions", bm25(F.col("tf"), F.col("dl"), F.col("df"), F.col("n"), F.col("avgdl")).alias("score"))
 
@@ -194,8 +210,6 @@ def search_many(index: KeywordIndex, queries: DataFrame, k: int = 10) -> DataFra
 
     Terms are joined with postings and pre-aggregated by query and document; the k best are kept per task before they are ranked together.
     """
-    from pyspark.sql import Window
-
     wanted = queries.select("query_id", F.explode(tokenize(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
     df = index.document_frequency().select("term", "df")
     hits = index.postings.select("term", "doc_id", "dl", "tf").join(wanted, "term").join(df, "term").join(F.broadcast(index.stats))

@@ -33,7 +33,9 @@ def search_substring(index: DataFrame, pattern: str, docs: DataFrame | None = No
     found = index.where(F.col("gram").isin(grams)).groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") == max(1, len(grams))).select("doc_id")
     if docs is None:
         return found
-    return docs.where(F.contains(fold(F.col("text")), fold(F.lit(pattern)))).select(F.col("doc_id").cast("long")).join(found, "doc_id", "left_semi")
+    # Candidates first, as they are few; only their texts are folded. The sizes of both sides decide on a broadcast at run time.
+    texts = docs.select(F.col("doc_id").cast("long"), "text").join(found, "doc_id", "left_semi")
+    return texts.where(F.contains(fold(F.col("text")), fold(F.lit(pattern)))).select("doc_id")
 
 
 def search_fuzzy(index: DataFrame, query: str, threshold: float = THRESHOLD, limit: int | None = LIMIT) -> DataFrame:

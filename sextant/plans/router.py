@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from enum import Enum
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sextant.operators import keyword, trigram, vector
@@ -73,24 +74,42 @@ def detect_mode(q: SearchQuery, has_keyword: bool = True, has_fuzzy: bool = True
     return next((mode for holds, mode in rules if holds), Mode.KEYWORD)
 
 
+def mode_column(text: Column, has_keyword: bool = True, has_fuzzy: bool = True, has_vectors: bool = True, semantic_length: int = 10) -> Column:
+    """Name of the mode of each plain query text (without quotes and signs), by the rules of ``detect_mode``."""
+    runs, size = F.size(F.regexp_extract_all(text, F.lit("[A-Za-z0-9]+"), F.lit(0))), F.octet_length(text)
+    asks = text.contains("?") | text.contains("how") | text.contains("what") | text.contains("why")
+    rest = detect_mode(SearchQuery(""), has_keyword, has_fuzzy, has_vectors)  # what the availability of the indexes decides
+    semantic = F.lit(has_vectors) & ((runs >= 3) & (size >= semantic_length) | asks)
+    return F.when((runs == 1) & (size < 20), Mode.KEYWORD.name).when(semantic, Mode.SEMANTIC.name).otherwise(rest.name)
+
+
 def fuse(legs: dict[str, DataFrame], weights: tuple[float, float, float]) -> DataFrame:
     """Legs (doc_id, score) by name keyword, fuzzy, semantic: each divided by its largest score, then weighted; absent is 0.
 
+    A leg may have positions, the places of its terms, which the result carries; matched_text is empty, as no leg cuts text out.
     The legs are stacked and grouped once, in place of a chain of outer joins.
     """
     names = ("keyword", "fuzzy", "semantic")
     parts = []
+    none = F.lit(None).cast("array<int>")
     for name in names:
         if (leg := legs.get(name)) is not None:
             top = leg.agg(F.max("score").alias("top"))  # one row
-            part = leg.join(F.broadcast(top)).select("doc_id", F.when(F.col("top") > 0, F.col("score") / F.col("top")).otherwise(F.col("score")).alias("s"))
-            parts.append(part.select("doc_id", *((F.col("s") if n == name else F.lit(0.0)).alias(f"{n}_score") for n in names)))
+            positions = F.col("positions") if "positions" in leg.columns else none
+            part = leg.join(F.broadcast(top)).select("doc_id", F.when(F.col("top") > 0, F.col("score") / F.col("top")).otherwise(F.col("score")).alias("s"), positions.alias("positions"))
+            parts.append(part.select("doc_id", *((F.col("s") if n == name else F.lit(0.0)).alias(f"{n}_score") for n in names), "positions"))
     stacked = parts[0]
     for part in parts[1:]:
         stacked = stacked.unionByName(part)
-    merged = stacked.groupBy("doc_id").agg(*(F.round(F.max(f"{n}_score"), 6).alias(f"{n}_score") for n in names))
+    positions = F.coalesce(F.first("positions", ignorenulls=True), F.array().cast("array<int>")).alias("positions")
+    merged = stacked.groupBy("doc_id").agg(*(F.round(F.max(f"{n}_score"), 6).alias(f"{n}_score") for n in names), positions)
     final = sum((F.col(f"{n}_score") * w for n, w in zip(names, weights, strict=True)), F.lit(0.0))
-    return merged.withColumn("final_score", F.round(final, 6))
+    return merged.select("doc_id", *(f"{n}_score" for n in names), F.round(final, 6).alias("final_score"), "positions", F.lit("").alias("matched_text"))
+
+
+def with_rows(hits: DataFrame, rows: DataFrame, id_col: str = "id", columns: tuple[str, ...] = ("name", "description", "language", "tags")) -> DataFrame:
+    """Hits with columns of the rows that they name; hits are few, so the rows are read with a broadcast join."""
+    return hits.join(rows.select(F.col(id_col).cast("long").alias("doc_id"), *(c for c in columns if c in rows.columns)), "doc_id", "left")
 
 
 @dataclass
@@ -100,23 +119,29 @@ class SearchRouter:
     keywords: keyword.KeywordIndex | None = None
     grams: DataFrame | None = None
     vectors: DataFrame | None = None
-    embed: object = None  # text -> list of floats
+    embed: Callable[[str], list[float]] | Callable[[Column], Column] | None = None  # of a text, or as a column expression
     limits: dict = field(default_factory=dict)
 
     def _leg(self, name: str, q: SearchQuery) -> DataFrame | None:
         if name == "keyword" and self.keywords is not None:
-            return keyword.search_boolean(self.keywords, q.text).select("doc_id", "score")
+            return keyword.search_boolean(self.keywords, q.text).select("doc_id", "score", "positions")
         if name == "fuzzy" and self.grams is not None:
             return trigram.search_fuzzy(self.grams, q.text, q.fuzzy_threshold).select("doc_id", F.col("similarity").alias("score"))
         if name == "substring" and self.grams is not None:
             return trigram.search_substring(self.grams, q.text).withColumn("score", F.lit(1.0))
         if name == "semantic" and self.vectors is not None and self.embed is not None:
-            near = vector.knn(self.vectors, self.embed(q.text), q.limit)
+            near = vector.knn(self.vectors, self._embedded(q.text), q.limit)
             return vector.with_similarity(near, q.semantic_threshold).select(F.col("vec_id").alias("doc_id"), F.col("similarity").alias("score"))
         return None
 
+    def _embedded(self, text: str) -> list[float]:
+        made = self.embed(F.lit(text)) if getattr(self.embed, "is_column", False) else self.embed(text)
+        if isinstance(made, Column):  # one row, computed by Spark
+            made = self.vectors.sparkSession.range(1).select(made).first()[0]
+        return list(made)
+
     def search(self, query: str | SearchQuery) -> DataFrame:
-        """(doc_id, keyword_score, fuzzy_score, semantic_score, final_score), best first, at most the query's limit."""
+        """(doc_id, keyword_score, fuzzy_score, semantic_score, final_score, positions, matched_text), best first, at most the query's limit."""
         q = parse(query) if isinstance(query, str) else query
         mode = q.mode
         if mode is Mode.AUTO:
@@ -126,7 +151,7 @@ class SearchRouter:
         if not legs or not q.text.strip():
             from pyspark.sql import SparkSession
 
-            return SparkSession.active().createDataFrame([], "doc_id long, keyword_score double, fuzzy_score double, semantic_score double, final_score double")
+            return SparkSession.active().createDataFrame([], "doc_id long, keyword_score double, fuzzy_score double, semantic_score double, final_score double, positions array<int>, matched_text string")
         return fuse(legs, q.weights).orderBy(F.desc("final_score"), "doc_id").limit(q.limit)
 
     def search_keyword(self, text: str, limit: int = LIMIT) -> DataFrame:

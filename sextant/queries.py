@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,7 @@ from sextant.functions import text as T
 from sextant.functions import vectors as V
 from sextant.functions.language import detect_language, file_extension
 from sextant.operators import catalog, keyword, sets, trigram, vector
+from sextant.operators.indexes import IndexStore
 from sextant.operators.keyword import KeywordIndex
 from sextant.plans import completion, router
 from sextant.streaming.upkeep import debounced
@@ -140,7 +142,7 @@ def _(spark, d):
 
 @_query("doc_stats", _with(select="SELECT doc_id, dl FROM dls"))
 def _(spark, d):
-    return _docs(spark, d).select("doc_id", F.size(T.tokenize(F.col("text"))).cast("long").alias("dl")).where("dl > 0")
+    return _index(spark, d).postings.groupBy("doc_id").agg(F.first("dl").alias("dl"))
 
 
 @_query("corpus_stats", _with(select="SELECT n, round(avgdl, 6) AS avgdl FROM corpus"))
@@ -155,7 +157,7 @@ def _(spark, d):
 
 @_query("term_exists", _with(select="SELECT count(*) > 0 AS found FROM (SELECT 1 FROM tk WHERE term = 'was' LIMIT 1)"))
 def _(spark, d):
-    return _index(spark, d).postings.where("term = 'was'").limit(1).agg((F.count("*") > 0).alias("found"))
+    return _index(spark, d).has_term("was")
 
 
 @_query("tf_idf", _with(select="SELECT term, doc_id, round(ln(1 + tf) * ln(n / df), 6) AS weight FROM p JOIN dfs USING (term), corpus WHERE term = 'that'"))
@@ -203,7 +205,10 @@ def _(spark, d):
     return each.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("t.pos").cast("long").alias("last"), F.sum("t.pos").alias("total"))
 
 
-@_query("code_tokens")
+_CODE_TEXT = r"""regexp_replace(html, '(\\["''])|"(?:[^"\\]|\\+[^\\])*(?:"|\\*$)|''(?:[^''\\]|\\+[^\\])*(?:''|\\*$)|//[^\n]*\n?|#[^\n]*\n?', '\1', 'gs')"""
+
+
+@_query("code_tokens", f"SELECT page_id, len({_tok('code')})::BIGINT AS n FROM (SELECT page_id, {_CODE_TEXT} AS code FROM pages)")
 def _(spark, d):
     return _table(spark, d, "pages").select("page_id", F.size(T.tokenize_code(F.col("html"))).cast("long").alias("n"))
 
@@ -218,11 +223,22 @@ def _(spark, d):
     return _table(spark, d, "part").select("p_partkey", T.truncate(F.col("p_name"), 12).alias("short"), T.truncate(F.col("p_name"), 2).alias("tiny"))
 
 
-@_query("checksum")
+#: CRC-32 of bytes by a table of 256 entries, each of which is eight steps of the polynomial.
+_CRC_SQL = """WITH t AS (SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i::BIGINT], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: xor(c >> 1, 3988292384 * (c & 1)))) AS crcs),
+b AS (SELECT {id}, list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: 16 * (strpos('0123456789ABCDEF', h[1]) - 1) + strpos('0123456789ABCDEF', h[2]) - 1) AS bytes FROM {table})
+SELECT {id}, xor(list_reduce(list_concat([4294967295::BIGINT], bytes), lambda c, x: xor(c >> 8, crcs[(xor(c, x) & 255) + 1])), 4294967295) AS crc FROM b, t"""
+
+
+@_query("checksum", _CRC_SQL.format(id="doc_id", text="text", table="documents"))
 def _(spark, d):
     return _docs(spark, d).select("doc_id", T.checksum(F.col("text")).alias("crc"))
 
 
+@_query("checksum_of_parts", _CRC_SQL.format(id="p_partkey", text="p_name || p_type || p_brand", table="part"))
+def _(spark, d):
+    return _table(spark, d, "part").select("p_partkey", T.checksum_of_parts(F.array("p_name", "p_type", "p_brand")).alias("crc"))
+
+
 @_query("parse_id", "SELECT p_partkey, try_cast(regexp_extract(p_brand, '[0-9]+') AS BIGINT) AS digits, CAST(NULL AS BIGINT) AS whole FROM part")
 def _(spark, d):
     return _table(spark, d, "part").select("p_partkey", T.parse_id(F.regexp_extract("p_brand", "[0-9]+", 0)).alias("digits"), T.parse_id(F.col("p_brand")).alias("whole"))
@@ -377,7 +393,75 @@ def _(spark, d):
         "fuzzy": trigram.search_fuzzy(trigram.build(docs), _HYBRID_TEXT).select("doc_id", F.col("similarity").alias("score")),
         "semantic": near.select(F.col("vec_id").alias("doc_id"), F.col("similarity").alias("score")),
     }
-    return router.fuse(legs, (0.4, 0.2, 0.4))
+    return router.fuse(legs, (0.4, 0.2, 0.4)).select(*_SCORES)
+
+
+_SCORES = ("doc_id", "keyword_score", "fuzzy_score", "semantic_score", "final_score")
+
+
+def _router(spark, d) -> router.SearchRouter:
+    """A router over all three indexes; vectors are signed counts of hashed tokens."""
+    docs = _docs(spark, d)
+    return router.SearchRouter(KeywordIndex.build(docs), trigram.build(docs), vector.embed_tokens(docs), vector.hashing_embedder())
+
+
+def _embed_sql(tokens: str, key: str) -> str:
+    """(key, place, v): cells of the vectors of tokens (key, term)."""
+    return f"SELECT {key}, h % 64 AS place, sum(CASE WHEN (h // 64) % 2 = 1 THEN -1.0 ELSE 1.0 END) AS v FROM (SELECT {key}, ('0x' || substr(md5(term), 1, 8))::BIGINT AS h FROM {tokens}) GROUP BY 1, 2"
+
+
+def _semantic_sql(text: str, least: float = 0.5, limit: int = 50) -> tuple[str, ...]:
+    return (
+        f"qt AS (SELECT 0 AS q, unnest({_tok(repr(text))}) AS term)",
+        f"qe AS ({_embed_sql('qt', 'q')})",
+        f"de AS ({_embed_sql('tk', 'doc_id')})",
+        "nd AS (SELECT doc_id, sqrt(sum(v * v)) AS norm FROM de GROUP BY 1)",
+        "dots AS (SELECT de.doc_id, sum(de.v * qe.v) AS d FROM de JOIN qe USING (place) GROUP BY 1)",
+        "near AS (SELECT doc_id, round(1 - CASE WHEN norm * qn = 0 THEN 0 ELSE coalesce(d, 0) / (norm * qn) END, 6) AS distance FROM nd LEFT JOIN dots USING (doc_id), (SELECT sqrt(sum(v * v)) AS qn FROM qe) ORDER BY distance, doc_id LIMIT " + str(limit) + ")",
+        f"s AS (SELECT doc_id, round(1 - distance, 6) AS score FROM near WHERE round(1 - distance, 6) >= {least})",
+    )
+
+
+_QUESTION, _TWO = "how is the thing that was", "the thing"
+
+
+@_query("route_semantic", _with(*_semantic_sql(_QUESTION), select="SELECT doc_id, 0.0::DOUBLE AS keyword_score, 0.0::DOUBLE AS fuzzy_score, round(score / (SELECT max(score) FROM s), 6) AS semantic_score, round(0.4 * round(score / (SELECT max(score) FROM s), 6), 6) AS final_score FROM s ORDER BY final_score DESC, doc_id LIMIT 50"))
+def _(spark, d):
+    return _router(spark, d).search(_QUESTION).select(*_SCORES)  # a question: AUTO takes the vectors
+
+
+_TWO_GRAMS = trigram.query_grams(_TWO, True)
+
+
+@_query(
+    "route_hybrid",
+    _with(
+        _terms_sql({"the": 1, "thing": 1}, False, "k"),
+        _GRAMS,
+        f"f AS (SELECT doc_id, round(count(*) / {float(len(_TWO_GRAMS))}, 6) AS score FROM g WHERE gram IN (SELECT * FROM (VALUES {_values(_TWO_GRAMS)})) GROUP BY 1 HAVING count(*) / {float(len(_TWO_GRAMS))} >= 0.15 ORDER BY score DESC, doc_id LIMIT 100)",
+        *_semantic_sql(_TWO),
+        "a AS (SELECT doc_id, score / (SELECT max(score) FROM k) AS k, 0.0 AS f, 0.0 AS s FROM k UNION ALL SELECT doc_id, 0, score / (SELECT max(score) FROM f), 0 FROM f UNION ALL SELECT doc_id, 0, 0, score / (SELECT max(score) FROM s) FROM s)",
+        "m AS (SELECT doc_id, round(max(k), 6)::DOUBLE AS keyword_score, round(max(f), 6)::DOUBLE AS fuzzy_score, round(max(s), 6)::DOUBLE AS semantic_score FROM a GROUP BY 1)",
+        select="SELECT *, round(0.4 * keyword_score + 0.2 * fuzzy_score + 0.4 * semantic_score, 6) AS final_score FROM m ORDER BY final_score DESC, doc_id LIMIT 50",
+    ),
+)
+def _(spark, d):
+    return _router(spark, d).search(_TWO).select(*_SCORES)  # two words: AUTO takes all three
+
+
+@_query("text_embedding", _with(f"de AS ({_embed_sql('tk', 'doc_id')})", select="SELECT doc_id, place, v FROM de"))
+def _(spark, d):
+    vectors = vector.embed_tokens(_docs(spark, d)).select(F.col("vec_id").alias("doc_id"), F.posexplode("embedding").alias("place", "v"))
+    touched = F.transform(F.array_distinct(T.tokenize(F.col("text"))), lambda t: vector._place(vector._hashed(t), 64))
+    cells = _docs(spark, d).select("doc_id", F.explode(F.array_distinct(touched)).alias("place"))  # SQL has no rows for places without a token
+    return vectors.withColumn("place", F.col("place").cast("long")).join(cells, ["doc_id", "place"])
+
+
+@_query("result_positions", _with(_terms_sql({"that": 1}, False, "r"), select="SELECT r.doc_id, array_to_string(ps, ' ') AS positions, '' AS matched_text, lang FROM r JOIN (SELECT doc_id, list_sort(list(pos)) AS ps FROM tk WHERE term = 'that' GROUP BY 1) USING (doc_id) JOIN documents USING (doc_id) ORDER BY score DESC, r.doc_id LIMIT 50"))
+def _(spark, d):
+    hits = router.SearchRouter(_index(spark, d)).search("that")
+    rows = router.with_rows(hits, _docs(spark, d), "doc_id", ("lang",))
+    return rows.select("doc_id", F.array_join(F.transform("positions", lambda p: p.cast("string")), " ").alias("positions"), "matched_text", "lang")
 
 
 def _single_sql(leg: str, which: str) -> str:
@@ -388,17 +472,17 @@ def _single_sql(leg: str, which: str) -> str:
 
 @_query("route_keyword", _single_sql(_with(_terms_sql({"that": 1}, False, "r"), select=""), "keyword"))
 def _(spark, d):
-    return router.SearchRouter(_index(spark, d), trigram.build(_docs(spark, d))).search("that")
+    return router.SearchRouter(_index(spark, d), trigram.build(_docs(spark, d))).search("that").select(*_SCORES)
 
 
 @_query("route_fuzzy", _single_sql(f"WITH r AS (SELECT doc_id, similarity AS score FROM ({_fuzzy_sql('thinng', 0.15, 100)}))", "fuzzy"))
 def _(spark, d):
-    return router.SearchRouter(_index(spark, d), trigram.build(_docs(spark, d))).search("~thinng")
+    return router.SearchRouter(_index(spark, d), trigram.build(_docs(spark, d))).search("~thinng").select(*_SCORES)
 
 
 @_query("route_substring", _single_sql(f"WITH r AS (SELECT doc_id, 1.0 AS score FROM ({_SUB}))", "fuzzy"))
 def _(spark, d):
-    return router.SearchRouter(_index(spark, d), trigram.build(_docs(spark, d))).search(router.SearchQuery(_PATTERN, router.Mode.SUBSTRING))
+    return router.SearchRouter(_index(spark, d), trigram.build(_docs(spark, d))).search(router.SearchQuery(_PATTERN, router.Mode.SUBSTRING)).select(*_SCORES)
 
 
 _MODE_SQL = """SELECT item_id, CASE WHEN runs = 1 AND n < 20 THEN 'KEYWORD' WHEN runs >= 3 AND n >= 10 OR contains(text, '?') OR contains(text, 'how') OR contains(text, 'what') OR contains(text, 'why') THEN 'SEMANTIC' ELSE 'HYBRID' END AS mode
@@ -407,11 +491,69 @@ FROM (SELECT item_id, text, strlen(text) AS n, len(regexp_extract_all(text, '[A-
 
 @_query("mode_detect", _MODE_SQL)
 def _(spark, d):
-    t = F.col("text")
-    runs, size = F.size(F.regexp_extract_all(t, F.lit("[A-Za-z0-9]+"), F.lit(0))), F.octet_length(t)
-    asks = t.contains("?") | t.contains("how") | t.contains("what") | t.contains("why")
-    mode = F.when((runs == 1) & (size < 20), "KEYWORD").when((runs >= 3) & (size >= 10) | asks, "SEMANTIC").otherwise("HYBRID")
-    return _table(spark, d, "benchmark").select("item_id", mode.alias("mode"))
+    return _table(spark, d, "benchmark").select("item_id", router.mode_column(F.col("text")).alias("mode"))
+
+
+# -- index upkeep --------------------------------------------------------------------------------------------
+
+
+def _changed(spark, d):
+    """A stored index after a build, an update and a removal: documents of one rest modulo 7 are replaced by another's text, of another are gone."""
+    import tempfile
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sextant-")
+    docs = _docs(spark, d).select("doc_id", "text")
+    store = IndexStore(spark, f"{base.rstrip('/')}/index-{uuid.uuid4().hex}", vector.embed_tokens)
+    store.index(docs)
+    store.update(docs.where("doc_id % 7 = 3").select("doc_id", F.concat(F.lit("thing that changed "), F.reverse("text")).alias("text")))
+    store.remove(docs.where("doc_id % 7 = 5").select("doc_id"))
+    store.index(docs.where("doc_id % 70 = 5").select((F.col("doc_id") + 10_000_000).alias("doc_id"), "text"))
+    return store
+
+
+_CHANGED = "documents AS (SELECT doc_id, CASE WHEN doc_id % 7 = 3 THEN 'thing that changed ' || reverse(text) ELSE text END AS text FROM main.documents WHERE doc_id % 7 <> 5 UNION ALL SELECT doc_id + 10000000, text FROM main.documents WHERE doc_id % 70 = 5)"
+
+
+@_query("upkeep_keyword", f"WITH {_CHANGED}, " + _with(_terms_sql({"that": 1, "thing": 1}, False, "r"), select="SELECT doc_id, score FROM r").removeprefix("WITH "))
+def _(spark, d):
+    return keyword.search_or(_changed(spark, d).keywords(), ["that", "thing"]).select("doc_id", "score")
+
+
+@_query("upkeep_trigram", f"WITH {_CHANGED}, " + _fuzzy_sql("thing changed", 0.15, 100).removeprefix("WITH "))
+def _(spark, d):
+    return trigram.search_fuzzy(_changed(spark, d).grams(), "thing changed")
+
+
+@_query("upkeep_vector", f"WITH {_CHANGED}, " + _with(*_semantic_sql(_QUESTION, -1.0, 20), select="SELECT doc_id AS vec_id, distance FROM near").removeprefix("WITH "))
+def _(spark, d):
+    store = _changed(spark, d)
+    store.compact()
+    query = list(spark.range(1).select(vector.hashing_embedder()(F.lit(_QUESTION))).first()[0])
+    return vector.knn(store.vectors(), query, 20).select("vec_id", "distance")
+
+
+@_query("upkeep_documents", f"WITH {_CHANGED}, " + _with(select="SELECT d.doc_id, dl FROM documents d LEFT JOIN dls USING (doc_id)").removeprefix("WITH "))
+def _(spark, d):
+    return _changed(spark, d).documents()
+
+
+@_query("vector_exists", "SELECT count(*) > 0 AS found FROM embeddings WHERE vec_id = 3")
+def _(spark, d):
+    return vector.contains(_table(spark, d, "embeddings"), 3)
+
+
+@_query("vector_upsert", "SELECT vec_id, round(CASE WHEN vec_id < 10 THEN -1 ELSE 1 END * embedding[1]::DOUBLE, 6) AS x FROM embeddings WHERE vec_id % 10 <> 9")
+def _(spark, d):
+    v = _table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    new = v.where("vec_id < 10").withColumn("embedding", F.transform("embedding", lambda x: -x))
+    left = vector.remove(vector.upsert(v, new), v.where("vec_id % 10 = 9"))
+    return left.select("vec_id", F.round(F.get("embedding", 0), 6).alias("x"))
+
+
+@_query("knn_many", "WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), q AS (SELECT vec_id AS query_id, e AS qe FROM v WHERE vec_id % 100 = 0), r AS (SELECT query_id, vec_id, round(1 - list_cosine_similarity(e, qe), 6) AS distance FROM v, q) SELECT query_id, vec_id, distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS n FROM r) WHERE n <= 5")
+def _(spark, d):
+    v = _table(spark, d, "embeddings")
+    return vector.knn_many(v, v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), 5)
 
 
 # -- catalog -------------------------------------------------------------------------------------------------
@@ -457,12 +599,32 @@ def _(spark, d):
     return catalog.resolve(snippets(spark, d), "12").select("id", "name")
 
 
-@_query("list_all", _snip("SELECT id, name, language, row_number() OVER (ORDER BY id::VARCHAR) AS place FROM snippets ORDER BY place LIMIT 100"))
+@_query("list_all", _snip("SELECT id, name, language, row_number() OVER (ORDER BY id::VARCHAR) AS place FROM snippets"))
+def _(spark, d):
+    return catalog.listed(snippets(spark, d)).select("id", "name", "language", "place")
+
+
+@_query("tree_changes", _snip("SELECT name AS k, CASE WHEN id % 5 = 1 THEN 'new' ELSE language END AS v FROM snippets WHERE id % 5 <> 2 UNION ALL SELECT 'zz-' || name, 'added' FROM snippets WHERE id % 5 = 4"))
+def _(spark, d):
+    rows = snippets(spark, d).select("id", F.col("name").alias("k"), F.col("language").alias("v"))
+    tree = catalog.put(rows.select("k", "v"), rows.where("id % 5 = 1").select("k", F.lit("new").alias("v")), "k")
+    more = rows.where("id % 5 = 4").select(F.concat(F.lit("zz-"), "k").alias("k"), F.lit("added").alias("v")).union(rows.where("id % 5 = 3").select("k", F.lit("no").alias("v")))
+    return catalog.drop_keys(catalog.insert(tree, more, "k"), rows.where("id % 5 = 2"), "k")
+
+
+@_query("tag_count", _snip("SELECT count(*) AS n FROM snippets WHERE list_contains(tags, 'long')"))
 def _(spark, d):
-    from pyspark.sql import Window
+    return catalog.tag_count(snippets(spark, d), "long")
 
-    first = catalog.in_key_order(snippets(spark, d)).limit(100)  # the listing's page
-    return first.select("id", "name", "language", F.row_number().over(Window.orderBy(F.col("id").cast("string"))).cast("long").alias("place"))
+
+@_query("tag_exists", _snip("SELECT count(*) > 0 AS found FROM snippets WHERE list_contains(tags, 'none')"))
+def _(spark, d):
+    return catalog.tag_exists(snippets(spark, d), "none")
+
+
+@_query("tags_by_count", _snip("SELECT t AS tag, n, row_number() OVER (ORDER BY n DESC, t) AS place FROM (SELECT t, count(*) AS n FROM (SELECT unnest(tags) AS t FROM snippets) GROUP BY 1)"))
+def _(spark, d):
+    return catalog.tags_by_count(snippets(spark, d)).withColumn("place", F.monotonically_increasing_id() + 1)
 
 
 @_query("key_range", _snip("SELECT id, name FROM snippets WHERE name BETWEEN 'doc-000100' AND 'doc-000130'"))
@@ -617,8 +779,7 @@ SELECT conv_id, turn, CASE WHEN t = '' THEN 'EMPTY' WHEN strlen(t) < 3 THEN 'AMB
 
 @_query("classify_input", _CLASS)
 def _(spark, d):
-    t = C.trimmed(F.col("text"))
-    return _table(spark, d, "conversations").select("conv_id", "turn", C.classify(F.col("text")).alias("class"), C.code_points(t).alias("code_score"), C.prose_points(t).alias("nl_score"))
+    return _table(spark, d, "conversations").select("conv_id", "turn", C.assess(F.col("text")).alias("a")).select("conv_id", "turn", "a.*")
 
 
 @_query("complexity", "SELECT conv_id, CASE WHEN sum(strlen(text) // 4) > 1000 THEN 51 ELSE 256 END::BIGINT AS value FROM conversations GROUP BY 1")

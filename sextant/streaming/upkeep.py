@@ -6,12 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from sextant.operators.keyword import KeywordIndex
+from sextant.operators.indexes import IndexStore
 
-
-def replaced(old: DataFrame, new: DataFrame, changed: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Rows of ``new`` in place of all old rows of the changed documents, so no document is ever counted twice."""
-    return old.join(changed.select(key).distinct(), key, "left_anti").unionByName(new)
+#: Numbers of a stream's segments are this far apart, so that compacted ones fit between them.
+SEGMENT_STEP = 2
 
 
 def latest(batch: DataFrame, key: str = "doc_id", order: str | None = None) -> DataFrame:
@@ -20,15 +18,11 @@ def latest(batch: DataFrame, key: str = "doc_id", order: str | None = None) -> D
     return batch.groupBy(key).agg(best).select("r.*")
 
 
-def maintain_postings(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Each micro-batch replaces its documents' postings in a new version under ``path``; a repeated batch writes the same version."""
+def maintain_index(stream: DataFrame, store: IndexStore, checkpoint: str) -> StreamingQuery:
+    """Each micro-batch of documents (doc_id, text) becomes one segment of the store; a repeated batch writes the same segment again."""
 
     def apply(batch: DataFrame, epoch: int) -> None:
-        docs = latest(batch)
-        postings = KeywordIndex.build(docs).postings
-        if epoch:
-            postings = replaced(batch.sparkSession.read.parquet(f"{path}/v{epoch - 1}"), postings, docs)
-        postings.write.mode("overwrite").parquet(f"{path}/v{epoch}")
+        store.index(latest(batch), SEGMENT_STEP * (epoch + 1))
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).start()
 

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from sextant.errors import ErrorCode, StoreError
 from sextant.operators import catalog
@@ -93,6 +94,44 @@ def test_bulk_changes(spark, three):
 
 def test_ordered_keys(spark):
     tree = spark.createDataFrame([(f"key{i}", f"value{i}") for i in range(100)], "k string, v string")
-    assert catalog.is_sorted_and_unique(tree, "k")
+    assert catalog.is_unique(tree, "k") and catalog.is_in_order(tree.orderBy("k"), "k") and not catalog.is_in_order(tree.orderBy(F.desc("k")), "k")
     assert [r["k"] for r in catalog.key_range(tree, "k", "key10", "key12").collect()] == ["key10", "key11", "key12"]
     assert [r["k"] for r in catalog.key_scan(tree, "k", "key98", 5).collect()] == ["key98", "key99"]
+
+
+def test_numbers_of_names_with_a_common_beginning(spark, monkeypatch):
+    monkeypatch.setattr(catalog, "SAMPLED", 50)
+    names = [f"document-{k * 7919 % 2000:06d}" for k in range(2000)] + ["é", "a", "Z"]
+    rows = spark.createDataFrame([(n,) for n in names], "name string").repartition(7)
+    got = {r["name"]: r["number"] for r in catalog.numbered(rows, "name").collect()}
+    assert got == {n: k for k, n in enumerate(sorted(names, key=str.encode), 1)}
+    assert catalog.numbered(rows.limit(0), "name").count() == 0
+
+
+def test_keyed_changes_and_visits(spark):
+    tree = spark.createDataFrame([("b", "1"), ("a", "2")], "k string, v string")
+    more = spark.createDataFrame([("b", "3"), ("c", "4")], "k string, v string")
+    as_dict = lambda t: {r["k"]: r["v"] for r in t.collect()}
+    assert as_dict(catalog.put(tree, more, "k")) == {"a": "2", "b": "3", "c": "4"} and as_dict(catalog.insert(tree, more, "k")) == {"a": "2", "b": "1", "c": "4"}
+    assert as_dict(catalog.drop_keys(tree, more, "k")) == {"a": "2"}
+    seen = []
+    assert catalog.for_each(catalog.put(tree, more, "k"), "k", lambda r: seen.append(r["k"]) or len(seen) < 2) == 2 and seen == ["a", "b"]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    import io
+
+    from sextant import cli
+
+    store = ["--store", str(tmp_path / "store")]
+    (tmp_path / "x.py").write_text("print('hello')\n")
+    out = io.StringIO()
+    go = lambda *a, given="": cli.run(spark, [*store, *a], out, io.StringIO(given))
+    assert go("add", str(tmp_path / "x.py"), "-t", "py") == 0 and go("add", "--stdin", "-n", "note", given="hello there") == 0
+    assert go("add", "--stdin", given="no name") == 1 and go("add", "--stdin", "-n", "note", given="twice") == 1 and go("nonsense") == 1
+    assert go("get", "99") == 2 and go("tag", "note", "bad") == 1 and go("add", str(tmp_path / "absent")) in (3, 4)
+    assert go("tag", "note", "+a", "+b", "-a") == 0 and go("edit", "note", given="hello you") == 0
+    out.truncate(0)
+    assert go("get", "note", "--raw") == 0 and out.getvalue().endswith("hello you")
+    assert go("search", "hello", "-t", "py") == 0 and "x.py" in out.getvalue() and go("list", "-l", "python") == 0
+    assert go("rm", "note", given="n\n") == 0 and go("get", "note") == 0 and go("rm", "note", "-f") == 0 and go("get", "note") == 2

@@ -146,3 +146,28 @@ def test_vectors(spark):
 
 def test_stop_words_are_sixty_odd():
     assert len(T.CODE_STOP_WORDS) == len(set(T.CODE_STOP_WORDS)) and all(re.fullmatch("[a-z]+", w) for w in T.CODE_STOP_WORDS)
+
+
+def test_checksums_of_parts_and_sizes(spark):
+    import zlib
+
+    from sextant.functions import text as T
+
+    c = T.Crc32()
+    for part in ("ab", b"c", "é"):
+        c.update(part)
+    assert c.value == zlib.crc32("abcé".encode())
+    row = spark.createDataFrame([(["ab", "c", "é"],)], "p array<string>").select(T.checksum_of_parts(F.col("p"))).first()
+    assert row[0] == c.value
+    sizes = [0, 1, 1023, 1024, 1280, 1331, 1435, 1536, 1792, 1 << 20, 1048576 + 52429, (1 << 30) - 1, 1 << 30, 5 << 40, (1 << 50) + 7]
+    want = [f"{n / 1024**k:.1f} {u}" for n in sizes for k, u in [next((k, u) for k, u in enumerate(("B", "KB", "MB", "GB", "TB")) if n < 1024 ** (k + 1) or k == 4)]]
+    got = [r[0] for r in spark.createDataFrame([(n,) for n in sizes], "n long").select(T.format_size(F.col("n"))).collect()]
+    assert got == want
+
+
+def test_folding(spark):
+    from sextant.functions.text import fold
+
+    texts = ["ABC xyz", "ÉABC é", "İΣ aB", "Ⅷ B", "ǅ C", "", "ß Z"]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(fold(F.col("t"))).collect()]
+    assert got == ["".join(c.lower() if c.isascii() else c for c in t) for t in texts]

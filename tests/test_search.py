@@ -4,10 +4,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from sextant.operators import keyword, trigram, vector
+from sextant.operators.indexes import IndexStore
 from sextant.operators.keyword import KeywordIndex, parse_boolean
 from sextant.plans import completion, router
 from sextant.plans.router import Mode, SearchQuery
-from sextant.streaming.upkeep import debounced, maintain_postings
+from sextant.streaming.upkeep import debounced, maintain_index
 
 
 @pytest.fixture(scope="module")
@@ -74,7 +75,7 @@ def test_vectors(spark):
     assert [r["vec_id"] for r in vector.knn(v, [1.0, 0.0], 2).collect()] == [0, 1]
     assert [r["vec_id"] for r in vector.within_distance(vector.knn_of(v, 2, 3), 0.5).collect()] == [2]
     with pytest.raises(Exception, match="dimensions"):
-        vector.knn(v, [1.0])
+        vector.knn(v, [1.0]).collect()
     new = spark.createDataFrame([(0, [0.0, -1.0])], "vec_id long, embedding array<float>")
     assert vector.upsert(v, new).count() == 3 and vector.remove(v, new).count() == 2
     assert vector.knn_many(v, v.selectExpr("vec_id AS query_id", "embedding AS query"), 1).where("query_id = vec_id").count() == 3
@@ -147,15 +148,15 @@ def test_completion_tables(spark):
 def test_streams(spark, tmp_path):
     events = spark.sql("SELECT 1 AS user_id, timestamp_seconds(x) AS ts FROM VALUES (0), (1), (10) AS t(x)")
     assert sorted(r["n"] for r in debounced(events, "3 seconds").collect()) == [1, 2]
-    source = str(tmp_path / "in")
+    source, store = str(tmp_path / "in"), IndexStore(spark, str(tmp_path / "index"))
     for k, text in enumerate(("old words", "new words")):
         spark.createDataFrame([(7, text), (8 + k, "other")], "doc_id long, text string").coalesce(1).write.mode("append").parquet(source)
         stream = spark.readStream.schema("doc_id long, text string").parquet(source)
-        query = maintain_postings(stream, str(tmp_path / "index"), str(tmp_path / "log"))
+        query = maintain_index(stream, store, str(tmp_path / "log"))
         query.processAllAvailable()
         query.stop()
-    last = spark.read.parquet(str(tmp_path / "index" / "v1"))
-    assert {(r["term"], r["doc_id"]) for r in last.collect()} == {("new", 7), ("words", 7), ("other", 8), ("other", 9)}
+    assert store.segments() == [2, 4]
+    assert {(r["term"], r["doc_id"]) for r in store.keywords().postings.collect()} == {("new", 7), ("words", 7), ("other", 8), ("other", 9)}
 
 
 def test_sources(spark, tmp_path):
@@ -167,3 +168,78 @@ def test_sources(spark, tmp_path):
     assert [r["name"] for r in model_list(replies).collect()] == ["codellama:7b", "llama3:8b"]
     chunks = spark.createDataFrame([('{"response": "a"}',), ('{"message": {"content": "b"}, "done": true}',)], "value string")
     assert {tuple(r) for r in completion_text(chunks).collect()} == {("a", False), ("b", True)}
+
+
+def test_changes_of_a_stored_index(spark, tmp_path, monkeypatch):
+    make = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    store = IndexStore(spark, str(tmp_path / "ix"), lambda docs: vector.embed_tokens(docs, 8))
+    assert store.count() == 0 and store.keywords().postings.count() == 0 and not store.contains(1)
+    store.index(make([(1, "quick fox"), (2, "lazy dog"), (3, "")]))
+    store.update(make([(1, "slow fox")]))
+    store.remove(make([(2, ""), (77, "")]))
+    told = []
+    store.index_batch([make([(4, "new dog")]), make([(5, "old dog"), (2, "back again")])], lambda k, n: told.append((k, n)))
+    texts = {1: "slow fox", 2: "back again", 3: "", 4: "new dog", 5: "old dog"}
+
+    def check():
+        fresh = KeywordIndex.build(make(list(texts.items())))
+        key = lambda r: (r["term"], r["doc_id"], r["dl"], r["tf"], tuple(r["positions"]))
+        index = store.keywords()
+        assert sorted(map(key, index.postings.collect())) == sorted(map(key, fresh.postings.collect()))
+        assert index.stats.collect() == fresh.stats.collect()
+        assert sorted(store.grams().collect()) == sorted(trigram.build(make(list(texts.items()))).collect())
+        assert {r["vec_id"] for r in store.vectors().collect()} == {1, 2, 4, 5} and {r["doc_id"] for r in store.documents().collect()} == set(texts)
+        assert {h["doc_id"] for h in store.router().search("dog").collect()} == {4, 5} and store.contains(2) and not store.contains(77)
+
+    check()
+    assert told == [(1, 2), (2, 2)] and store.segments() == [1, 2, 3, 4, 5]
+    store.compact()
+    check()
+    assert store.segments() == [6]
+    store.index(make([(5, "old dog")]), 7)
+    store.index(make([(5, "old dog")]), 7)  # a change that is run again
+    check()
+    store.clear()
+    assert store.segments() == []
+
+
+def test_vector_files(spark, tmp_path):
+    v = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    vector.save(v, str(tmp_path / "v"))
+    assert sorted(vector.load(spark, str(tmp_path / "v"), 2).collect()) == sorted(v.collect())
+    with pytest.raises(Exception, match="not 3"):
+        vector.load(spark, str(tmp_path / "v"), 3)
+    with pytest.raises(Exception, match="none"):
+        vector.load(spark, str(tmp_path / "none"))
+    with pytest.raises(Exception, match="dimensions"):
+        vector.save(v.union(spark.createDataFrame([(2, [1.0])], v.schema)), str(tmp_path / "w"))
+    assert [vector.contains(v, k).first()["found"] for k in (1, 5)] == [True, False]
+
+
+def test_embedding_of_tables_and_of_expressions(spark):
+    docs = spark.createDataFrame([(1, "the quick the fox getUserName"), (2, "dog"), (3, "!"), (4, None)], "doc_id long, text string")
+    one = {r["vec_id"]: r["embedding"] for r in vector.embed_tokens(docs, 16).collect()}
+    embed = vector.hashing_embedder(16)
+    assert one == {r["doc_id"]: r["e"] for r in docs.where("doc_id < 3").select("doc_id", embed(F.col("text")).alias("e")).collect()}
+    by_model = vector.embed_with(docs.where("doc_id < 3"), lambda texts: [[float(len(t))] for t in texts])
+    assert {(r["vec_id"], r["embedding"][0]) for r in by_model.collect()} == {(1, 29.0), (2, 3.0)}
+
+
+def test_semantic_and_hybrid_search(docs, index):
+    r = router.SearchRouter(index, trigram.build(docs), vector.embed_tokens(docs), vector.hashing_embedder())
+    assert r.analyze("how quick is it") is Mode.SEMANTIC and r.analyze("quick dog") is Mode.HYBRID
+    best = r.search("how the quick brown fox").first()
+    assert best["doc_id"] == 0 and best["semantic_score"] == 1.0 and best["keyword_score"] == 0.0
+    both = r.search("quick dog").collect()
+    assert both[0]["doc_id"] == 2 and both[0]["final_score"] == 1.0 and list(both[0]["positions"]) == [0, 1] and both[0]["matched_text"] == ""
+    named = router.with_rows(r.search_keyword("lazy"), docs.withColumn("name", F.lit("n")), "doc_id").first()
+    assert (named["doc_id"], named["name"]) == (1, "n")
+
+
+def test_mode_columns_follow_the_rules(spark):
+    texts = ["docker", "a_b", "how so", "one two three", "x y", "", "a" * 30, "why", "a b c"]
+    have = [(True, True, True), (True, False, False), (False, True, False), (False, False, True), (True, True, False)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    for h in have:
+        got = [r[0] for r in rows.select(router.mode_column(F.col("t"), *h)).collect()]
+        assert got == [router.detect_mode(SearchQuery(t), *h).name for t in texts]
