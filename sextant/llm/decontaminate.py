@@ -6,11 +6,12 @@ meets an item's: at the offset at which the two coincide, within the document. E
 its shingles. The multi-index cuts fingerprints into eight blocks of eight bits: two fingerprints within ``RADIUS`` = 20 bits
 differ by two bits or fewer in some block (eight blocks of three make 24), so items are entered under all 37 values
 within two bits of each block and windows look up their own eight values. Candidates within the radius are verified by the exact
-weighted Jaccard similarity of their shingles, weights being multiplicities; 0.8 or more is contamination.
+weighted Jaccard similarity of their shingles, weights being multiplicities; 0.8 or more is contamination. An item of fewer than five words is one
+shingle of its own size, which a similar window must equal, so it is looked up among the document's shingles of that size.
 
 The benchmark's side is broadcast only while its counted rows are within ``BROADCAST_ROWS``; beyond that the same joins shuffle.
 
-Defined cases: texts and items of one to four words are one shingle; those without words match nothing; null ids are ids like any other;
+Defined cases: an item of one to four words matches where its words stand in this order; a text of one to four words is one shingle; those without words match nothing; null ids are ids like any other;
 equal rows give one result; repeated items each match; a document shorter than an item is one window; extra columns are ignored, and kept where documents are returned.
 """
 
@@ -26,17 +27,21 @@ SHINGLE, RADIUS, SIMILARITY, BROADCAST_ROWS = 5, 20, 0.8, 1_000_000
 BLOCKS, BLOCK_BITS, NEAR = 8, 8, 2
 
 
-def shingles(text: Column) -> Column:
-    """64-bit hashes of the text's word shingles, in order."""
+def shingles(text: Column, size: int = SHINGLE) -> Column:
+    """64-bit hashes of the text's word shingles, in order; a shorter text is one shingle."""
     all_ = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{M}\p{N}]+"), lambda x: x != "")
 
     def hashes(w: Column) -> Column:
-        made = F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - SHINGLE, F.lit(0))), lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(SHINGLE))))
+        made = F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - size, F.lit(0))), lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(size))))
         return F.when(F.size(w) > 0, made).otherwise(F.array().cast("array<bigint>"))
 
     return let(all_, hashes)
 
 
+def _n_words(text: Column) -> Column:
+    return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), r"[^\p{L}\p{M}\p{N}]+"), lambda x: x != ""))
+
+
 def with_fingerprint(df: DataFrame, hashes: str, lanes: int) -> DataFrame:
     """Adds ``fp``: bits set in over half the hashes. Bits are counted ``lanes`` at a time, in the lanes of one long."""
     step = 64 // lanes
@@ -65,7 +70,9 @@ def _bag(hashes: str) -> Column:
 
 def matches(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, text_key, item_id, similarity, start): for each contaminated document and item the best window, by its first shingle."""
-    items = benchmark.select("item_id", shingles(F.col("text")).alias("item")).where("size(item) > 0")
+    items = benchmark.select("item_id", _n_words(F.col("text")).alias("words"), shingles(F.col("text")).alias("item")).where("words > 0")
+    short = materialize(benchmark.select("item_id", "text", _n_words(F.col("text")).alias("words")).where(f"words BETWEEN 1 AND {SHINGLE - 1}"), "short")
+    items = items.where(f"words >= {SHINGLE}").drop("words")
     items = materialize(items.withColumn("m", F.size("item")), "items")
     entries, longest = items.agg(F.coalesce(F.sum("m"), F.lit(0)), F.coalesce(F.max("m"), F.lit(0))).first()
     items = materialize(with_fingerprint(items, "item", 4 if longest < 1 << 15 else 2), "items")
@@ -97,6 +104,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, similar
 
     exact = let(F.size(F.array_intersect(_bag("window"), _bag("item"))), lambda both: both / (F.size("window") + F.size("item") - both))
     found = close.select("doc_id", "text_key", "item_id", "start", exact.alias("similarity")).where(F.col("similarity") >= similarity)
+    for size in sorted(r[0] for r in short.select("words").distinct().collect()):  # four at most
+        wanted = short.where(F.col("words") == size).select("item_id", F.get(shingles(F.col("text"), size), 0).alias("h"))
+        texts = docs.where(_n_words(F.col("text")) >= size).select("doc_id", text_key, shingles(F.col("text"), size).alias("all"))
+        places = texts.select("doc_id", "text_key", F.posexplode_outer("all").alias("start", "h")).join(F.broadcast(wanted) if short.count() <= BROADCAST_ROWS else wanted, "h")
+        found = found.unionByName(places.select("doc_id", "text_key", "item_id", "start", F.lit(1.0).alias("similarity")))
     best = found.groupBy("doc_id", "text_key", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"))).alias("w"))
     return best.select("doc_id", "text_key", "item_id", F.col("w.similarity").alias("similarity"), (-F.col("w.s")).alias("start"))
 

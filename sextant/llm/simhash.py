@@ -5,6 +5,8 @@ each half (its low 31 bits) is covered on its own with threshold t = 1. Anchors
 [31,26] Hamming code, whose covering radius is R = 1: every fingerprint has one home anchor within R and
 at most 16 anchors within R + t. Two fingerprints that link meet at the home anchor of either one, so homes are compared with
 replicas, anchor by anchor, by an equi-join that checks all 64 bits. Equal fingerprints are one node before that.
+Beyond ``CROSS_ROWS`` fingerprints, where many would share one of the 2^26 anchors by chance, each anchor is crossed with the four bytes of the other half: three
+differing bits leave one byte equal, so the links are the same and an anchor has 1/256 of the rows for each byte.
 
 The three bits are op1's contract. ``near_dedup`` has none and links documents at a Jaccard similarity of 0.8 or more of their five-word
 shingles, which three bits nearly never show; it finds all such pairs by an exact join on the rarest shingles of each document.
@@ -26,6 +28,8 @@ from pyspark.sql import functions as F
 from sextant.llm.common import components, materialize
 
 MAX_BITS, CODE_BITS, CODE_CHECKS = 3, 31, 5
+#: Distinct fingerprints beyond which anchors are crossed with bytes of the other half.
+CROSS_ROWS = 1 << 23
 #: One document in SAMPLE is searched for frequent shingles, of which FREQUENT at most are set last in the order of prefixes.
 SAMPLE, FREQUENT = 16, 100_000
 
@@ -76,14 +80,20 @@ def _flips() -> list[tuple[int, int, bool]]:
     return rows
 
 
-def links(nodes: DataFrame) -> DataFrame:
+def links(nodes: DataFrame, crossed: bool = False) -> DataFrame:
     """(a, b), a < b: pairs of distinct fingerprints ``fp`` at three or fewer differing bits."""
     spark = nodes.sparkSession
     flips = F.broadcast(spark.createDataFrame(_flips(), "checks int, flip long, home boolean"))
     halves = nodes.select("fp", F.explode(F.array(F.lit(0), F.lit(1))).alias("side"))
     half = F.when(F.col("side") == 0, F.col("fp")).otherwise(F.shiftrightunsigned("fp", 32)).bitwiseAND(F.lit((1 << CODE_BITS) - 1))
     at = halves.withColumn("half", half).withColumn("checks", _checks(F.col("half"))).join(flips, "checks")
-    at = at.select("fp", "home", (F.col("side").cast("long") * (1 << 32) + F.col("half").bitwiseXOR(F.col("flip"))).alias("anchor"))
+    anchor = F.col("side").cast("long") * (1 << 32) + F.col("half").bitwiseXOR(F.col("flip"))
+    if crossed:
+        other = F.when(F.col("side") == 0, F.shiftrightunsigned("fp", 32)).otherwise(F.col("fp"))
+        at = at.withColumn("other", other).withColumn("byte", F.explode(F.array(*map(F.lit, range(4)))))
+        value = F.call_function("shiftrightunsigned", F.col("other"), 8 * F.col("byte")).bitwiseAND(F.lit(255))
+        anchor = anchor * 1024 + F.col("byte") * 256 + value
+    at = at.select("fp", "home", anchor.alias("anchor"))
     home = at.where("home").select("anchor", F.col("fp").alias("a"))
     near = at.select("anchor", F.col("fp").alias("b"))
     pairs = home.join(near, "anchor").where(F.expr(f"a <> b AND bit_count(a ^ b) <= {MAX_BITS}"))
@@ -94,7 +104,7 @@ def classes(prints: DataFrame) -> DataFrame:
     """(fp, label, component_id): the component of each distinct fingerprint and its smallest doc_id."""
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     nodes = materialize(nodes, "nodes")
-    labels = components(links(nodes), "a", "b").withColumnsRenamed({"node": "fp"})
+    labels = components(links(nodes, nodes.count() > CROSS_ROWS), "a", "b").withColumnsRenamed({"node": "fp"})
     tagged = nodes.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     least = tagged.groupBy("label").agg(F.min("least").alias("component_id"))
     return tagged.join(least, "label").select("fp", "label", "component_id")

@@ -58,6 +58,9 @@ def test_simhash_against_brute_force(spark):
     base = [sentence(rng, rng.choice((1, 2, 40, 300))) for _ in range(40)]
     texts = base + [edited(rng, rng.choice(base), rng.choice((0, 1, 2))) for _ in range(80)] + ["", " \n", None, "Äb ÄB", "äb äb"]
     got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in S.simhash_classes(table(spark, texts)).collect()}
+    prints = spark.createDataFrame([(rng.getrandbits(63) >> 40 << 40 | rng.getrandbits(3) << rng.choice((0, 20, 37)),) for _ in range(400)], "fp long").distinct()
+    for rows in (prints, S.fingerprints(table(spark, texts)).select("fp").distinct()):
+        assert sorted(S.links(rows).collect()) == sorted(S.links(rows, crossed=True).collect())
     prints = {i: brute_fingerprint(t) for i, t in enumerate(texts)}
     assert {i: f for i, (f, _) in got.items()} == {i: f"{p:016x}" for i, p in prints.items()}
     expected = brute_components(range(len(texts)), lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 3)
@@ -201,19 +204,19 @@ def test_line_dedup_documents(spark):
     assert L.report(table(spark, [])).count() == 0
 
 
-def grams(text):
+def grams(text, size=5):
     import regex
 
     w = [x for x in regex.split(r"[^\p{L}\p{M}\p{N}]+", (text or "").lower()) if x]
-    return [tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))] if w else []
+    return [tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))] if w else []
 
 
 def brute_leaks(texts, items):
     out = {}
     for i, t in enumerate(texts):
-        s = grams(t)
         for k, item in enumerate(items):
-            x = grams(item)
+            size = min(5, max(1, len(grams(item, 1))))
+            s, x = grams(t, size), grams(item, size)
             for at in range(max(1, len(s) - len(x) + 1)):
                 w = s[at : at + len(x)]
                 if x and w:
@@ -229,7 +232,14 @@ def test_decontamination_against_brute_force(spark):
     items = [sentence(rng, n) for n in (3, 8, 30, 45, 60)] + ["", "x x x x x x x x x x x x"]
     texts = [f"{sentence(rng, 30)} {items[k % 5]} {sentence(rng, 20)}" for k in range(10)]
     texts += [f"{sentence(rng, 9)}, {edited(rng, items[4], 1).upper()}! {sentence(rng, 9)}", edited(rng, items[3], 1), edited(rng, items[4], 20)]
-    texts += [sentence(rng, 200) for _ in range(10)] + ["", None, items[2][: len(items[2]) // 2], items[6]]
+    for k in range(24):  # words put in and taken out
+        words = items[2 + k % 3].split()
+        for _ in range(1 + k % 3):
+            at = rng.randrange(len(words))
+            words[at : at + k % 2] = [] if k % 2 else [f"i{rng.randrange(99)}"]
+        texts.append(f"{sentence(rng, 25)} {' '.join(words)} {sentence(rng, 25)}")
+    texts += [sentence(rng, 200) for _ in range(10)] + ["", None, items[2][: len(items[2]) // 2], items[6], "it is a secret: magic phrase, found", "magic secret phrase", "Secret"]
+    items += ["Secret magic phrase", "hapax", "secret"]
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     docs = table(spark, texts)
     got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in D.matches(docs, bench).collect()}
