@@ -55,6 +55,30 @@ def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
 
 
+_OPEN: list[list[tuple[str, str]]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession, *keep: str) -> Iterator[None]:
+    """Tables written inside are deleted at the end, but for those whose tags are in ``keep``, on which the result rests."""
+    mine: list[tuple[str, str]] = []
+    _OPEN.append(mine)
+    try:
+        yield
+    finally:
+        _OPEN.pop()
+        for tag, path in mine:
+            if tag not in keep:
+                _delete(spark, path)
+            elif _OPEN:
+                _OPEN[-1].append((tag, path))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: lineage ends there and survives lost executors."""
     spark = df.sparkSession
@@ -62,6 +86,8 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     schema = df.schema
     with shuffles_dropped(spark):
         df.write.parquet(path)
+    if _OPEN:
+        _OPEN[-1].append((tag, path))
     return spark.read.schema(schema).parquet(path)
 
 
@@ -96,6 +122,7 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     every node has one link down, to a node that has none.
     """
     e = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
+    spark = e.sparkSession
     e = materialize(e, "links")
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -104,7 +131,9 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         large = large.where("u != v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = materialize(small.union(low).distinct(), "links")
+        before, e = e, materialize(small.union(low).distinct(), "links")
+        for file in before.inputFiles()[:1]:
+            _delete(spark, file.rsplit("/", 1)[0])
         if e.groupBy("u").count().where("count > 1").isEmpty() and e.join(e.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty():
             break
     heads = e.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("label"))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sextant.llm.common import components, materialize
+from sextant.llm.common import components, materialize, scratch
 
 MAX_BITS, CODE_BITS, CODE_CHECKS = 3, 31, 5
 #: Distinct fingerprints beyond which anchors are crossed with bytes of the other half.
@@ -196,9 +196,9 @@ def similar_sets(prints: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
     """
     fits = "5 * least(x_.n, y_.n) >= 4 * greatest(x_.n, y_.n) AND 9 * (1 + least(x_.n - x_.pos, y_.n - y_.pos)) >= 4 * (x_.n + y_.n)"  # pos from 1
     nodes = prints.groupBy("id").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    rows = nodes.select("id", "n", F.posexplode("prefix").alias("pos", "key")).withColumn("pos", F.col("pos") + 1)
+    rows = nodes.select("id", "n", F.posexplode("prefix").alias("pos", "key")).select("key", "id", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos") + 1).alias("packed"))
     group = Window.partitionBy("key")
-    here = F.struct("id", "n", "pos")
+    here = F.struct("id", F.shiftright("packed", 32).cast("int").alias("n"), F.col("packed").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("pos"))
     rows = rows.select("key", here.alias("y_"), F.min(here).over(group).alias("x_"), F.count("*").over(group).alias("met"))
     rows = materialize(rows.where("met > 1").drop("met"), "shared")
     star = rows.where("x_.id <> y_.id").where(fits).select(F.col("x_.id").alias("x"), F.col("y_.id").alias("y"))
@@ -218,16 +218,22 @@ def near_dedup(docs: DataFrame, shingle: int = 5) -> DataFrame:
     Documents link at a Jaccard similarity of 0.8 or more of their sets of word shingles. The join on prefixes finds every such
     pair, so nothing depends on how far fingerprints of similar texts lie apart. Texts without words are equal sets.
     """
+    with scratch(docs.sparkSession, "kept"):
+        best, repeats = _kept(docs, shingle)
+    key = F.xxhash64("text")
+    kept = docs.join(best.withColumnsRenamed({"doc_id": "__id", "text_key": "__key"}), F.col("doc_id").eqNullSafe(F.col("__id")) & (key == F.col("__key")), "left_semi")
+    if not repeats:
+        return kept
+    names = docs.columns
+    return kept.withColumn("__key", key).dropDuplicates(["doc_id", "__key"]).select(*names)
+
+
+def _kept(docs: DataFrame, shingle: int) -> tuple[DataFrame, bool]:
+    """(doc_id, text_key) of the document that stays of each component, as a written table, and whether rows repeat."""
     prints = materialize(_prefixes(docs, shingle), "prints")
     links_ = materialize(similar_sets(prints, docs, shingle), "similar")
     labels = components(links_, "x", "y").withColumnsRenamed({"node": "id"})
     tagged = prints.select("doc_id", "text_key", "id").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     best = tagged.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("w"))
     best = materialize(best.select("w.doc_id", "w.text_key"), "kept")
-    key = F.xxhash64("text")
-    kept = docs.join(best.withColumnsRenamed({"doc_id": "__id", "text_key": "__key"}), F.col("doc_id").eqNullSafe(F.col("__id")) & (key == F.col("__key")), "left_semi")
-    repeated = prints.groupBy("doc_id", "text_key").count().where("count > 1")
-    if repeated.isEmpty():
-        return kept
-    names = docs.columns
-    return kept.withColumn("__key", key).dropDuplicates(["doc_id", "__key"]).select(*names)
+    return best, not prints.groupBy("doc_id", "text_key").count().where("count > 1").isEmpty()
