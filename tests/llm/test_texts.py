@@ -198,6 +198,25 @@ def test_sharding(spark):
     assert histshard.shard(docs.limit(0)).count() == 0
 
 
+def test_sharding_against_a_plain_sort(spark):
+    """All rows sorted by their key, then cut at equal shares of the bytes."""
+    import xxhash
+
+    rng = random.Random(12)
+    texts = [f"{k % 900} " + "x" * rng.choice((3, 50, 400)) for k in range(1500)] + ["same text"] * 200 + ["long " * 4000]
+    docs = spark.createDataFrame([(i, t, 7, "s") for i, t in enumerate(texts)], "doc_id long, text string, size int, shard string")
+    number = xxhash.xxh64_intdigest((1).to_bytes(4, "little"), 42)
+    key = lambda i: (xxhash.xxh64_intdigest(texts[i].encode(), 42), xxhash.xxh64_intdigest(i.to_bytes(8, "little"), number))
+    rows = sorted(histshard.shard(docs).collect(), key=lambda r: (r["shard"], r["slot"]))
+    assert [r["doc_id"] for r in rows] == sorted(range(len(texts)), key=key)
+    total, below, off = sum(r["size"] for r in rows), 0, 0
+    for r in rows:
+        below += r["size"]
+        ideal = (below - r["size"] / 2) * 8 / total
+        off = max(off, abs(ideal - r["shard"] - 0.5) - 0.5)  # shares by which a row lies outside its ideal shard
+    assert off <= max(0.01, 20_001 * 8 / total, 200 * 10 * 8 / total)
+
+
 def brute_run(scores):
     best = (0.0, 0, (0, 0))
     for a in range(len(scores)):
@@ -359,6 +378,33 @@ def graded(rng, n):
     return rows
 
 
+def test_ordinal_fit_against_plain_descent():
+    """The fitted model's likelihood is about that of plain gradient descent with numeric derivatives, and its chances are those of the formula."""
+    rng = random.Random(21)
+    samples = []
+    for _ in range(90):
+        g = rng.randrange(3)
+        x = [k for k in range(4) if rng.random() < (0.15, 0.4, 0.65, 0.5)[k] * (0.4 + 0.6 * g)] or [3]
+        samples.append((np.array(x, np.int64), g))
+    counts = np.bincount([g for _, g in samples], minlength=3) + 1.0
+    cost = np.sqrt(counts.max() / counts)
+
+    def chances(p, x):
+        z = sum(p[k] for k in x) * len(x) ** -0.25
+        below = [1 / (1 + np.exp(-(t - z))) for t in (p[4], p[4] + np.exp(p[5]))]
+        return [below[0], below[1] - below[0], 1 - below[1]]
+
+    loss = lambda p: sum(-cost[g] * np.log(max(1e-9, chances(p, x)[g])) for x, g in samples)
+    p = np.array([0.0, 0, 0, 0, -0.5, 0.3])
+    for _ in range(250):
+        grad = np.array([(loss(p + d) - loss(p - d)) / 2e-4 for d in np.eye(6) * 1e-4])
+        p = p - 0.01 * grad
+    model = ordinal.fit(samples, passes=800)  # to convergence
+    mine = np.array([*model.weights[:4], model.thresholds[0], np.log(model.thresholds[1] - model.thresholds[0])])
+    assert all(np.allclose(model.chances(x), chances(mine, x), atol=1e-5) for x, _ in samples)
+    assert loss(mine) <= 1.03 * loss(p) and loss(p) < loss(np.array([0.0, 0, 0, 0, -0.5, 0.3]))
+
+
 def test_ordinal_classifier(spark):
     rng = random.Random(8)
     train, held = graded(rng, 800), graded(rng, 200)
