@@ -501,7 +501,11 @@ def _changed(spark, d):
     """A stored index after a build, an update and a removal: documents of one rest modulo 7 are replaced by another's text, of another are gone."""
     import tempfile
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sextant-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:  # a folder of this machine does only for a local master
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="sextant-")
     docs = _docs(spark, d).select("doc_id", "text")
     store = IndexStore(spark, f"{base.rstrip('/')}/index-{uuid.uuid4().hex}", vector.embed_tokens)
     store.index(docs)
