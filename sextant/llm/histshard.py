@@ -86,6 +86,7 @@ def shard(docs: DataFrame, shards: int = 8, tolerance: float = TOLERANCE) -> Dat
     for level in sorted(by_level):
         cell = F.when(_prefix(level).isin(sorted(set(by_level[level]))), _prefix(level + 1)).otherwise(cell)
     placed = keys.withColumn("cell", cell).join(F.broadcast(places) if len(table) <= BROADCAST_CELLS else places, "cell")
-    order = Window.partitionBy("cell").orderBy("a", "b", "doc_id", "size", "text_crc32")
+    unsigned = [F.col(k).bitwiseXOR(F.lit(-(1 << 63))) for k in "ab"]  # as the cells' prefixes count
+    order = Window.partitionBy("cell").orderBy(*unsigned, "doc_id", "size", "text_crc32")
     slot = F.col("first") + F.row_number().over(order) - 1
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", slot.alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
