@@ -20,11 +20,11 @@ CPUS = os.environ.get("BENCH_CPUS", "4")
 RUNS = int(os.environ.get("BENCH_RUNS", "5"))
 
 
-def seconds(run) -> float:
+def seconds(run, runs: int = RUNS) -> float:
     """Median over the runs; the first, which compiles code, does not count."""
     run()
     out = []
-    for _ in range(RUNS):
+    for _ in range(runs):
         began = time.perf_counter()
         run()
         out.append(time.perf_counter() - began)
@@ -38,9 +38,9 @@ def main() -> None:
     snippets = Q.snippets(spark, SF_DIR)
     took: dict[str, float] = {}
     with tempfile.TemporaryDirectory() as folder:
-        took["build_keyword_index"] = seconds(lambda: KeywordIndex.build(docs).write(f"{folder}/keyword"))
-        took["build_trigram_index"] = seconds(lambda: trigram.build(docs).repartitionByRange("gram").sortWithinPartitions("gram").write.mode("overwrite").parquet(f"{folder}/grams"))
-        took["build_vectors"] = seconds(lambda: vector.embed_tokens(docs).write.mode("overwrite").parquet(f"{folder}/vectors"))
+        took["build_keyword_index"] = seconds(lambda: KeywordIndex.build(docs).write(f"{folder}/keyword"), 1)
+        took["build_trigram_index"] = seconds(lambda: trigram.build(docs).repartitionByRange("gram").sortWithinPartitions("gram").write.mode("overwrite").parquet(f"{folder}/grams"), 1)
+        took["build_vectors"] = seconds(lambda: vector.embed_tokens(docs).write.mode("overwrite").parquet(f"{folder}/vectors"), 1)
         index, grams = KeywordIndex.read(spark, f"{folder}/keyword"), spark.read.parquet(f"{folder}/grams")
         router = SearchRouter(index, grams, spark.read.parquet(f"{folder}/vectors"), vector.hashing_embedder())
         runs = {
