@@ -9,7 +9,12 @@ with the content of an added token in them, are encoded whole.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import re
+import threading
+import time
 import unicodedata
 import zlib
 from array import array
@@ -28,6 +33,9 @@ _RUNS = re.compile(r"\s*\S+|\s+")
 _BYTE_LEVEL = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _WORD_END = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
+#: Marks at the end of a piece that are one pre-token after letters.
+_MARKS = "!,.;:?#$%&*"
+
 
 def _byte_alphabet() -> dict[int, str]:
     """The byte-level alphabet: printable bytes stand for themselves, the others for code points from 256 on."""
@@ -43,7 +51,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.model, self.capacity = self.tok.model, capacity
+        self.model, self.capacity, self.used = self.tok.model, capacity, time.monotonic()
         added = [re.escape(t.content) for t in self.tok.get_added_tokens_decoder().values()]
         self.whole = "(?i)" + "|".join([f"[{_ODD}]", *added])
         self.words = self.tok.normalizer is not None
@@ -69,7 +77,7 @@ class Encoder:
             piece = unicodedata.normalize("NFC", piece).lower()
         lead = " " if piece[:1] == " " else ""
         body = piece[len(lead) :]
-        core = body.rstrip("!,.;:?#$%&*")
+        core = body.rstrip(_MARKS)
         if core.isalpha():
             head = core if self.words else lead + core
             return [head, body[len(core) :]] if len(core) < len(body) else [head]
@@ -91,6 +99,31 @@ class Encoder:
             return places[0]
         return self.add([i for p in places for i in self.flat[self.start[p] : self.start[p] + self.size[p]]])
 
+    def learn(self, pieces: list[str]) -> None:
+        """Remembers new pieces after a blank: at once those of letters and marks at their end, as most are; the others by ``place``."""
+        inner, parts, flat, start, size = self.inner, self.parts, self.flat, self.start, self.size
+        for piece in pieces:
+            if piece in inner:
+                continue
+            core = piece.rstrip(_MARKS)
+            if not core.isalpha() or not (piece.isascii() or max(piece) < "Ā"):
+                inner[piece] = self.place(" " + piece)
+                continue
+            head = core.lower() if self.words else " " + core
+            if (at := parts.get(head)) is None:
+                at = self._part(head)
+            if len(core) < len(piece):
+                tail = piece[len(core) :]
+                if (end := parts.get(tail)) is None:
+                    end = self._part(tail)
+                a, b, n = start[at], start[end], len(flat)
+                flat.extend(flat[a : a + size[at]])
+                flat.extend(flat[b : b + size[end]])
+                at = len(size)
+                start.append(n)
+                size.append(len(flat) - n)
+            inner[piece] = at
+
     def add(self, ids: list[int]) -> int:
         self.start.append(len(self.flat))
         self.size.append(len(ids))
@@ -106,6 +139,7 @@ class Encoder:
 
     def encode(self, texts) -> list[np.ndarray]:
         """Ids of each text (an Arrow string array or a list), as unsigned 32-bit arrays; null is the empty text."""
+        self.used = time.monotonic()
         texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
         if not len(texts):
             return []
@@ -114,9 +148,10 @@ class Encoder:
         lists = pc.split_pattern(pc.if_else(apart, "", texts), " ")
         offsets = lists.offsets.to_numpy()
         coded = lists.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
-        offsets, pieces = offsets - offsets[0], coded.dictionary.to_pylist()
+        offsets, pieces = offsets - offsets[0], coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # many times faster than to_pylist
         if len(self.inner) + len(self.first) > self.capacity:
             self._shrink(pieces)
+        self.learn(pieces)
         codes = coded.indices.to_numpy()
         at = np.fromiter(map(self.inner.__getitem__, pieces), np.int64, len(pieces))[codes]
         at[offsets[:-1]] = [self.first[pieces[k]] for k in codes[offsets[:-1]].tolist()]
@@ -146,13 +181,28 @@ class _Pieces(dict):
 
 
 _ENCODERS: dict[str, Encoder] = {}
+#: Seconds after its last use in which an encoder goes, so that idle workers hold no memory that other stages need.
+IDLE = 3
 
 
 def encoder(path: str) -> Encoder:
-    """One encoder for each vocabulary and Python worker; its cache lives as long as the worker."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    """One encoder for each vocabulary and Python worker; it lives until the worker has been idle for ``IDLE`` seconds."""
+    if (enc := _ENCODERS.get(path)) is None:
+        _ENCODERS[path] = enc = Encoder(path)
+        threading.Thread(target=_expire, args=(path,), daemon=True).start()
+    enc.used = time.monotonic()
+    return enc
+
+
+def _expire(path: str) -> None:
+    """Waits until an encoder has been idle, then drops it and gives its memory back to the system."""
+    while (left := _ENCODERS[path].used + IDLE - time.monotonic()) > 0:
+        time.sleep(left)
+    del _ENCODERS[path]
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # glibc only
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def batches(column: pa.Array, most: int = 4 << 20):

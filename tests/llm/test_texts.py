@@ -3,6 +3,7 @@
 import io
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -419,3 +420,25 @@ def test_ordinal_classifier(spark):
     assert got[900]["p_best"] == got[901]["p_best"]
     assert ordinal.score(fresh.limit(0), model).count() == 0
     assert ordinal.train(docs.limit(0), labels).weights.any() == False  # noqa: E712
+
+
+def test_idle_encoders_go(monkeypatch):
+    monkeypatch.setattr(encoding, "IDLE", 0.2)
+    enc = encoding.encoder(WORDS)
+    assert encoding.encoder(WORDS) is enc
+    deadline = time.monotonic() + 20
+    while WORDS in encoding._ENCODERS and time.monotonic() < deadline:
+        time.sleep(0.1)
+    assert WORDS not in encoding._ENCODERS
+    again = encoding.encoder(WORDS)
+    assert again is not enc and again.encode(["a b, c"])[0].tolist() == again.tok.encode("a b, c", add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("path", [WORDS, BYTES])
+def test_letters_and_marks_need_no_place(path, monkeypatch):
+    seen, place = [], encoding.Encoder.place
+    monkeypatch.setattr(encoding.Encoder, "place", lambda self, piece: seen.append(piece) or place(self, piece))
+    enc = encoding.Encoder(path)
+    text = "Über naïve, words. and Words!? ÀÉ x1 ª don't Ж end"
+    assert enc.encode([text])[0].tolist() == enc.tok.encode(text, add_special_tokens=False).ids
+    assert sorted(seen) == sorted([" x1", " don't", " Ж", "Über"])
