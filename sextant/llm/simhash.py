@@ -8,8 +8,8 @@ replicas, anchor by anchor, by an equi-join that checks all 64 bits. Equal finge
 Beyond ``CROSS_ROWS`` fingerprints, where many would share one of the 2^26 anchors by chance, each anchor is crossed with the four bytes of the other half: three
 differing bits leave one byte equal, so the links are the same and an anchor has 1/256 of the rows for each byte.
 
-The three bits are op1's contract. ``near_dedup`` has none and links documents at a Jaccard similarity of 0.8 or more of their five-word
-shingles, which three bits nearly never show; it finds all such pairs by an exact join on the rarest shingles of each document.
+The three bits are op1's contract. ``near_dedup`` links documents in the same way, by fingerprints and anchors, and further at a Jaccard similarity of 0.8 or more
+of their five-word shingles, of which three bits show few; it finds all such pairs by an exact join on the rarest shingles of each document.
 
 Defined cases: a text without words (null, empty, blank) has fingerprint zero and links like any other; a null doc_id takes part
 but is never a component's smallest id unless it is alone; repeated rows are copies; other columns are kept where documents are returned.
@@ -34,20 +34,29 @@ CROSS_ROWS = 1 << 23
 SAMPLE, FREQUENT = 16, 100_000
 
 
-def fingerprint(words: list[bytes], shingle: int) -> int:
-    """Bits that are set in over half the XXH64 values (seed 42) of the word shingles; 0 without words."""
+def shingle_hashes(words: list[bytes], shingle: int) -> np.ndarray:
+    """XXH64 values (seed 42) of the word shingles, repeats included; a shorter text is one shingle, none without words."""
     import xxhash
 
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     runs = zip(*(words[k:] for k in range(shingle)), strict=False) if len(words) >= shingle else [words]
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, map(b" ".join, runs), repeat(42)), np.uint64)
+    return np.fromiter(map(xxhash.xxh64_intdigest, map(b" ".join, runs), repeat(42)), np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Bits that are set in over half the values; 0 without values."""
     ones = np.zeros(64, np.int64)
     for k in range(0, len(hashes), 1 << 16):
         ones += np.unpackbits(hashes[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(words: list[bytes], shingle: int) -> int:
+    """Bits that are set in over half the XXH64 values (seed 42) of the word shingles; 0 without words."""
+    return majority(shingle_hashes(words, shingle))
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp, text_key): the fingerprint as a signed long and a key of the text."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("t"))
@@ -119,27 +128,22 @@ def simhash_classes(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
 def shingle_set(words: list[bytes], shingle: int) -> np.ndarray:
     """Distinct XXH64 values (seed 42) of the word shingles, sorted; a shorter text is one shingle, none without words."""
-    import xxhash
-
-    if not words:
-        return np.zeros(0, np.uint64)
-    runs = zip(*(words[k:] for k in range(shingle)), strict=False) if len(words) >= shingle else [words]
-    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, map(b" ".join, runs), repeat(42)), np.uint64))
+    return np.unique(shingle_hashes(words, shingle))
 
 
 def _mapped(docs: DataFrame, shingle: int, columns: str, row) -> DataFrame:
-    """``columns`` of every document: (doc_id, text_key, then what ``row`` gives of its shingle set)."""
+    """``columns`` (a long, an int, an array of longs and a long) of every document: (doc_id, text_key, then what ``row`` gives of its shingles' hashes)."""
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("t"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
+    kind, names = rows.schema["doc_id"].dataType.simpleString(), columns.split()
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            got = [row(shingle_set(t.as_py().lower().split(), shingle)) for t in part.column(2)]
-            arrays = [pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int32()), pa.array([g[2] for g in got], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *arrays], ["doc_id", "text_key", *columns.split()])
+            got = [row(shingle_hashes(t.as_py().lower().split(), shingle)) for t in part.column(2)]
+            arrays = [pa.array([g[k] for g in got], kind) for k, kind in enumerate((pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.int64())[: len(names)])]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *arrays], ["doc_id", "text_key", *names])
 
-    names = columns.split()
-    return rows.mapInArrow(run, f"doc_id {kind}, text_key long, {names[0]} long, {names[1]} int, {names[2]} array<long>")
+    kinds = ", ".join(f"{name} {k}" for name, k in zip(names, ("long", "int", "array<long>", "long"), strict=False))
+    return rows.mapInArrow(run, f"doc_id {kind}, text_key long, {kinds}")
 
 
 def _set_id(values: np.ndarray) -> int:
@@ -151,27 +155,28 @@ def _set_id(values: np.ndarray) -> int:
 def _frequent(docs: DataFrame, shingle: int) -> np.ndarray:
     """The most frequent shingles of a sample, the most frequent last. They only order prefixes, so any list gives the same links."""
     sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0)
-    each = _mapped(sample, shingle, "id n all", lambda v: (0, len(v), v.view(np.int64))).select(F.explode("all").alias("h"))
+    each = _mapped(sample, shingle, "id n all", lambda h: (0, len(v := np.unique(h)), v.view(np.int64))).select(F.explode("all").alias("h"))
     top = each.groupBy("h").count().where("count > 2").orderBy(F.desc("count"), "h").limit(FREQUENT).collect()
     return np.array([r["h"] for r in reversed(top)], np.int64)
 
 
 def _prefixes(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, text_key, id, n, prefix): key and size of the shingle set, and its rarest shingles, of which similar sets share one."""
+    """(doc_id, text_key, id, n, prefix, fp): key and size of the shingle set, its rarest shingles, of which similar sets share one, and the fingerprint."""
     frequent = _frequent(docs, shingle).view(np.uint64)
     order = np.argsort(frequent)
     known = frequent[order]
 
-    def row(values: np.ndarray):
+    def row(hashes: np.ndarray):
+        values = np.unique(hashes)
         n = len(values)
         rank = np.zeros(n, np.int64)
         if len(known):
             at = np.minimum(np.searchsorted(known, values), len(known) - 1)
             rank = np.where(known[at] == values, order[at] + 1, 0)
         prefix = values[np.lexsort((values, rank))][: n - (4 * n + 4) // 5 + 1]
-        return _set_id(values), n, prefix.view(np.int64)
+        return _set_id(values), n, prefix.view(np.int64), int(np.uint64(majority(hashes)).view(np.int64))
 
-    return _mapped(docs, shingle, "id n prefix", row)
+    return _mapped(docs, shingle, "id n prefix fp", row)
 
 
 def _similar(pairs: DataFrame, prints: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
@@ -181,18 +186,26 @@ def _similar(pairs: DataFrame, prints: DataFrame, docs: DataFrame, shingle: int)
     one = prints.join(ids, "id", "left_semi").groupBy("id").agg(F.min(F.struct("text_key", "doc_id")).alias("d"))
     one = materialize(one.select(F.col("d.doc_id").alias("__id"), F.col("d.text_key").alias("__key")), "wanted")
     wanted = docs.join(one, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key")), "left_semi")
-    sets = _mapped(wanted, shingle, "id n all", lambda v: (_set_id(v), len(v), v.view(np.int64))).dropDuplicates(["id"])
+    sets = _mapped(wanted, shingle, "id n all", lambda h: (_set_id(v := np.unique(h)), len(v), v.view(np.int64))).dropDuplicates(["id"])
     sets = materialize(sets.select("id", "all"), "sets")
     x, y = (sets.select(F.col("id").alias(k), F.col("all").alias(f"{k}_all")) for k in "xy")
     both = pairs.join(x, "x").join(y, "y")
     return both.where("9 * size(array_intersect(x_all, y_all)) >= 4 * (size(x_all) + size(y_all))").select("x", "y")
 
 
+def simhash_links(prints: DataFrame) -> DataFrame:
+    """(x, y): set keys, linked with the smallest set key of the SimHash component that their fingerprint is in."""
+    nodes = prints.select("fp", "id").distinct()
+    same = classes(nodes.withColumnRenamed("id", "doc_id"))
+    return nodes.join(same, "fp").where("id <> component_id").select(F.col("component_id").alias("x"), F.col("id").alias("y"))
+
+
 def similar_sets(prints: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
-    """(x, y): links between set keys whose components are those of all pairs with a Jaccard similarity of 0.8 or more.
+    """(x, y): links between set keys whose components are those of all pairs with three or fewer differing bits of their fingerprints, or
+    with a Jaccard similarity of 0.8 or more.
 
-    Each set is first compared with the smallest key under each of its prefix shingles only, which settles families of near copies in
-    as many comparisons as they have rows. Then sets that these links leave apart are compared wherever they share a prefix shingle.
+    SimHash gives the first links. Each set is compared with the smallest key under each of its prefix shingles only, which settles families of near copies in
+    as many comparisons as they have rows. Then sets that both leave apart are compared wherever they share a prefix shingle.
     """
     fits = "5 * least(x_.n, y_.n) >= 4 * greatest(x_.n, y_.n) AND 9 * (1 + least(x_.n - x_.pos, y_.n - y_.pos)) >= 4 * (x_.n + y_.n)"  # pos from 1
     nodes = prints.groupBy("id").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
@@ -202,7 +215,7 @@ def similar_sets(prints: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
     rows = rows.select("key", here.alias("y_"), F.min(here).over(group).alias("x_"), F.count("*").over(group).alias("met"))
     rows = materialize(rows.where("met > 1").drop("met"), "shared")
     star = rows.where("x_.id <> y_.id").where(fits).select(F.col("x_.id").alias("x"), F.col("y_.id").alias("y"))
-    star = materialize(_similar(star, prints, docs, shingle), "star")
+    star = materialize(_similar(star, prints, docs, shingle).union(simhash_links(prints)), "star")
     labels = components(star, "x", "y").withColumnsRenamed({"node": "id"})
     left = rows.select("key", "y_", F.col("y_.id").alias("id")).join(labels, "id", "left").select("key", "y_", F.coalesce("label", "id").alias("label"))
     left = left.select("*", F.min("label").over(group).alias("low"), F.max("label").over(group).alias("high")).where("low <> high")
@@ -215,8 +228,8 @@ def similar_sets(prints: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
 def near_dedup(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """The document with the smallest doc_id of each component (null ids last), with all its columns; of repeated rows, one.
 
-    Documents link at a Jaccard similarity of 0.8 or more of their sets of word shingles. The join on prefixes finds every such
-    pair, so nothing depends on how far fingerprints of similar texts lie apart. Texts without words are equal sets.
+    Documents link at three or fewer differing bits of their SimHash fingerprints, found by anchors, or at a Jaccard similarity of 0.8 or more of their sets of word
+    shingles. The join on prefixes finds every such pair, however far the fingerprints of similar texts lie apart. Texts without words are equal sets.
     """
     with scratch(docs.sparkSession, "kept"):
         best, repeats = _kept(docs, shingle)

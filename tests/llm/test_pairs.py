@@ -124,6 +124,15 @@ def test_near_dedup_against_brute_force_jaccard(spark, monkeypatch, frequent):
     assert far  # pairs that three bits do not reach
 
 
+def test_near_dedup_links_by_fingerprints(spark):
+    """Repeats count in a fingerprint and not in a shingle set: equal fingerprints, Jaccard similarity under 0.8."""
+    rng = random.Random(8)
+    texts = ["one two three four five " * 300 + sentence(rng, 12) for _ in range(3)] + [sentence(rng, 60)]
+    sets, prints = [brute_shingles(t) for t in texts], [brute_fingerprint(t, 5) for t in texts]
+    assert all((prints[a] ^ prints[b]).bit_count() <= 3 and not brute_similar(sets[a], sets[b]) for a, b in combinations(range(3), 2))
+    assert sorted(r["doc_id"] for r in S.near_dedup(table(spark, texts)).collect()) == [0, 3]
+
+
 def lines_of(texts, ids):
     return [(i, k, frozenset(line.encode().split())) for i, t in sorted(zip(ids, texts, strict=True), key=lambda x: (x[0] is None, x[0] or 0)) for k, line in enumerate((t or "").split("\n"))]
 
