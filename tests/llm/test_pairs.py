@@ -133,6 +133,31 @@ def test_near_dedup_links_by_fingerprints(spark):
     assert sorted(r["doc_id"] for r in S.near_dedup(table(spark, texts)).collect()) == [0, 3]
 
 
+def test_component_rounds_write_few_files(spark, monkeypatch):
+    from sextant.llm import common
+
+    written, plain = [], common.materialize
+
+    def counted(df, tag):
+        out = plain(df, tag)
+        written.append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(common, "materialize", counted)
+    edges = spark.range(60).selectExpr("id AS a", "id + 1 AS b")
+    settings = {"spark.sql.shuffle.partitions": "20", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        labels = {r["node"]: r["label"] for r in common.components(edges, "a", "b").collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert labels == dict.fromkeys(range(61), 0)
+    assert max(written[1:]) <= 2 < written[0]
+
+
 def lines_of(texts, ids):
     return [(i, k, frozenset(line.encode().split())) for i, t in sorted(zip(ids, texts, strict=True), key=lambda x: (x[0] is None, x[0] or 0)) for k, line in enumerate((t or "").split("\n"))]
 
