@@ -56,3 +56,14 @@ def test_stage_names_and_columns(spark, tmp_path):
         out = stage(spark, docs, str(tmp_path))
         assert out.columns == docs.columns and out.count() == 0
     assert pytest.importorskip("corpus_pipeline").ORACLE_SQL is None
+
+
+@pytest.mark.parametrize("stage", ["simhash near-dedup", "packing"])
+def test_stages_with_python_workers_release_the_heap(spark, stage, tmp_path):
+    """Stages before them leave a full heap, beside which the workers found no room."""
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    full = lambda: sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+    docs = spark.createDataFrame([(0, "a b c d e f")], "doc_id long, text string")
+    before = full()
+    assert dict(corpus_pipeline.STAGES)[stage](spark, docs, str(tmp_path)).count() == 1
+    assert full() > before
