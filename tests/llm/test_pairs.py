@@ -216,6 +216,18 @@ def test_line_dedup_of_a_large_family_and_frequent_words(spark, monkeypatch):
     assert got() == expected
 
 
+def test_prefix_join_makes_few_rows_a_pair(spark):
+    """Near copies have most of their keys in common, but need not meet at each of them."""
+    rng = random.Random(21)
+    base = [f"w{k}" for k in range(90)]
+    texts = [" ".join([*base[:k], f"x{i}", *base[k + 1 :]]) for i in range(40) for k in [rng.randrange(90)]]
+    docs = table(spark, texts).select("doc_id", "text")
+    lines = L._table(L._lines(docs), L._rarity(docs, 18), 1, 18)
+    pairs = L._pairs(lines, spark.createDataFrame([], "y long")).collect()
+    assert {frozenset((r["x"], r["y"])) for r in pairs} == {frozenset((a["id"], b["id"])) for a in lines.collect() for b in lines.collect() if a["id"] != b["id"]}
+    assert len(pairs) <= 4 * 40 * 39 / 2  # at each of up to 19 common keys before
+
+
 def test_rarity_is_no_column_of_lines(spark):
     plans = []
     docs = table(spark, ["a b c d e", "a b c d f"]).select("doc_id", "text")
