@@ -240,6 +240,21 @@ def test_rarity_is_no_column_of_lines(spark):
     assert plans and " AS levels" not in plans[0]
 
 
+def test_line_dedup_steps_are_cheap(spark, monkeypatch):
+    line = "one line with quite a few words that two documents share"
+    texts = [f"{line}\n \n\t\n\na  b", f" \n{line} now\n\t\na b", f"{line}\n\t a b \n\x0b"]
+    docs, real, made = table(spark, texts), L.materialize, {}
+    monkeypatch.setattr(L, "materialize", lambda df, tag: made.setdefault(tag, df) and real(df, tag))
+    gone = L.removed_lines(docs)
+    assert not made["lines"].schema["head"].dataType.containsNull  # else words are sorted as objects
+    assert "SortAggregate" not in made["named"]._jdf.queryExecution().executedPlan().toString()
+    assert "Contains" not in gone._jdf.queryExecution().optimizedPlan().toString()  # blank lines are told apart once, when lines are cut
+    got = {}
+    for r in gone.collect():
+        got.setdefault(r["doc_id"], []).append(r["line_no"])
+    assert {i: sorted(r) for i, r in got.items()} == brute_lines(texts, range(3)) == {1: [1, 3], 2: [0, 1]}
+
+
 def test_line_dedup_documents(spark):
     line, other = "a line with five words", "and one more line of words"
     texts = [f"{line}\nx\n{other}", f"y\n{line}\n", line, "short line", None, ""]
