@@ -274,3 +274,26 @@ def test_tokens_at_all_borders(spark):
         assert a == kept(t)
         assert [tuple(x) for x in b] == [(x, i) for i, w in enumerate(re.findall("[^ \t\n\x0b\f\r]+", t)) for x in kept(w)]
     assert "A-Z" not in T.OTHER  # ranges are what was slow
+
+
+@pytest.mark.parametrize("metric", ["cosine", "ip", "l2"])
+def test_many_nearest_in_parts_and_blocks(spark, monkeypatch, metric):
+    """Every pair is compared, whatever the sizes of parts and blocks, as one query at a time does it; without a sort of all pairs."""
+    import random
+
+    rnd = random.Random(3)
+    rows = [(k, [round(rnd.uniform(-1, 1), 1) for _ in range(3)]) for k in range(60)] + [(k, [0.5, 0.5, 0.0]) for k in range(60, 70)] + [(70, [0.0] * 3), (71, [1.0]), (72, [])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>").cache()
+    monkeypatch.setattr(vector, "BLOCK", 4), monkeypatch.setattr(vector, "PART", 16)
+    asked = [0, 5, 61, 70, 71]
+    near = vector.knn_many(v, v.where(F.col("vec_id").isin(asked)).selectExpr("vec_id AS query_id", "embedding AS query"), 6, metric)
+    got = sorted((r["query_id"], r["vec_id"], r["distance"]) for r in near.where("distance IS NOT NULL").collect())
+    one = v.alias("v").crossJoin(v.where(F.col("vec_id").isin(asked)).selectExpr("vec_id AS query_id", "embedding AS query"))
+    every = one.select("query_id", "vec_id", F.round(vector.distance(metric, F.col("embedding"), F.col("query")), 6).alias("distance")).collect()
+    want = []
+    for q in asked:
+        own = sorted((r for r in every if r["query_id"] == q), key=lambda r: (r["distance"] is not None, r["distance"] or 0.0, r["vec_id"]))
+        want += [(q, r["vec_id"], r["distance"]) for r in own[:6] if r["distance"] is not None]
+    assert got == sorted(want)
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "Generate explode(queries" not in plan and "FlatMapCoGroupsInArrow" in plan
