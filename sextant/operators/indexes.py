@@ -1,6 +1,8 @@
 """A stored search index that takes changes: keyword, trigram and vector tables in segments.
 
-A change writes one new segment with the rows of its documents only; nothing written before is touched. Rows of a document in older
+A store keeps the tables it is made for. A change writes one new segment with the rows of its documents only; nothing written before is touched.
+Each task sorts and writes the documents that it is dealt, so a segment is divided by document and a term's rows lie together in each of its files: building
+sends texts through a shuffle and not the many times larger rows of the index, and a common term is no task's alone. Rows of a document in older
 segments are dead once a newer segment names it, with new rows or as removed. Searches leave dead rows out by a join with the ids that the
 segments after the first one name, which are few until ``compact`` writes the living rows as one new first segment. A segment
 counts from the moment its ``docs`` table is in place, which is written last, so a change that breaks off leaves no trace and can be run again.
@@ -15,18 +17,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sextant.operators import trigram
-from sextant.operators.keyword import KeywordIndex
+from sextant.operators.keyword import KeywordIndex, Texts
 
 #: Segments beyond which a change is followed by ``compact``.
 MAX_SEGMENTS = 16
-DOCS, POSTINGS, GRAMS, VECTORS = "doc_id long, dl long", "term string, doc_id long, dl long, tf long, positions array<int>", "gram string, doc_id long", "vec_id long, embedding array<double>"
+DOCS, POSTINGS, GRAMS, VECTORS = "doc_id long, dl long, here boolean", "term string, doc_id long, dl long, tf long, positions array<int>", "gram string, doc_id long", "vec_id long, embedding array<double>"
+#: Documents that a task sorts at once, at least and at most.
+LEAST, DEALT = 64, 8192
 
 
 class IndexStore:
-    """Segments under a path; ``embed`` makes (vec_id, embedding) of documents, as ``vector.embed_tokens`` does."""
+    """Segments under a path; ``embed`` makes (vec_id, embedding) of documents, as ``vector.embed_tokens`` does. Without ``keywords``, ``trigrams`` or ``embed`` there is no such table."""
 
-    def __init__(self, spark: SparkSession, path: str, embed: Callable[[DataFrame], DataFrame] | None = None, code: bool = False):
-        self.spark, self.path, self.embed, self.code = spark, path.rstrip("/"), embed, code
+    def __init__(self, spark: SparkSession, path: str, embed: Callable[[DataFrame], DataFrame] | None = None, code: bool = False, keywords: bool = True, trigrams: bool = True):
+        self.spark, self.path, self.embed, self.code, self.with_keywords, self.with_trigrams = spark, path.rstrip("/"), embed, code, keywords, trigrams
 
     @cached_property
     def _fs(self):
@@ -48,13 +52,19 @@ class IndexStore:
         """Add or replace documents (doc_id, text), one row for each id; the number of the new segment. Running a numbered change again replaces it."""
         known = self.segments()
         n = segment if segment is not None else (known[-1] + 1 if known else 1)
-        built = KeywordIndex.build(docs, code=self.code)
-        self._write(n, "postings", built.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id"))
-        self._write(n, "grams", trigram.build(docs).repartitionByRange("gram").sortWithinPartitions("gram", "doc_id"))
+        count = docs.count()
+        dealt = max(1, min(self._partitions(), -(-count // LEAST)), -(-count // DEALT))
+        texts = Texts.of(docs, "doc_id", "text", self.code)
+        if self.with_keywords:
+            self._write(n, "postings", texts.postings(dealt).sortWithinPartitions("term", "doc_id"))
+            lengths = self.spark.read.schema(POSTINGS).parquet(f"{self.path}/postings/seg={n}").groupBy("doc_id").agg(F.first("dl").alias("dl"))
+        else:
+            lengths = texts.lengths()
+        if self.with_trigrams:
+            self._write(n, "grams", trigram.build(docs.repartition(dealt, "doc_id")).sortWithinPartitions("gram", "doc_id"))
         if self.embed is not None:
             self._write(n, "vectors", self.embed(docs))
-        lengths = self.spark.read.schema(POSTINGS).parquet(f"{self.path}/postings/seg={n}").groupBy("doc_id").agg(F.first("dl").alias("dl"))
-        self._write(n, "docs", docs.select(F.col("doc_id").cast("long")).join(lengths, "doc_id", "left"))
+        self._write(n, "docs", docs.select(F.col("doc_id").cast("long")).join(lengths, "doc_id", "left").withColumn("here", F.lit(True)))
         if len(self.segments()) > MAX_SEGMENTS:
             self.compact()
         return n
@@ -65,7 +75,7 @@ class IndexStore:
         """Take documents (doc_id) out; ids that are not there change nothing."""
         known = self.segments()
         n = segment if segment is not None else (known[-1] + 1 if known else 1)
-        self._write(n, "docs", ids.select(F.col("doc_id").cast("long"), F.lit(None).cast("long").alias("dl")).distinct())
+        self._write(n, "docs", ids.select(F.col("doc_id").cast("long"), F.lit(None).cast("long").alias("dl")).distinct().withColumn("here", F.lit(False)))
         return n
 
     def index_batch(self, batches: list[DataFrame], progress: Callable[[int, int], None] | None = None) -> None:
@@ -81,15 +91,21 @@ class IndexStore:
         if len(old) < 2:
             return
         n = old[-1] + 1
-        self._write(n, "postings", self._living("postings", POSTINGS).repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id"))
-        self._write(n, "grams", self._living("grams", GRAMS).repartitionByRange("gram").sortWithinPartitions("gram", "doc_id"))
+        # The rows of a file stay together: they are read, filtered and sorted again, not dealt out.
+        if self.with_keywords:
+            self._write(n, "postings", self._living("postings", POSTINGS).sortWithinPartitions("term", "doc_id"))
+        if self.with_trigrams:
+            self._write(n, "grams", self._living("grams", GRAMS).sortWithinPartitions("gram", "doc_id"))
         if self.embed is not None:
             self._write(n, "vectors", self._living("vectors", VECTORS, "vec_id"))
-        self._write(n, "docs", self.documents())
+        self._write(n, "docs", self.documents().withColumn("here", F.lit(True)))
         for table in ("docs", "postings", "grams", "vectors"):  # docs first: from then on the old segments do not count
             for k in old:
                 self._fs.delete(self._at(f"{table}/seg={k}"), True)
 
+    def _partitions(self) -> int:
+        return int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+
     def _write(self, n: int, table: str, rows: DataFrame) -> None:
         rows.write.mode("overwrite").parquet(f"{self.path}/{table}/seg={n}")
 
@@ -117,11 +133,10 @@ class IndexStore:
         known = self.segments()
         rows = self._rows("docs", DOCS)
         if not known:
-            return rows.drop("seg")
-        last = rows.groupBy("doc_id").agg(F.max(F.struct("seg", "dl")).alias("m"))
-        there = last.select("doc_id", F.col("m.dl").alias("dl"), F.col("m.seg").alias("seg"))
-        gone = [n for n in known if not self._fs.exists(self._at(f"postings/seg={n}"))]  # segments of removals
-        return there.where(~F.col("seg").isin(gone) if gone else F.lit(True)).select("doc_id", "dl")
+            return rows.select("doc_id", "dl")
+        last = rows.groupBy("doc_id").agg(F.max(F.struct("seg", "here", "dl")).alias("m"))
+        gone = [n for n in known if not self._fs.exists(self._at(f"postings/seg={n}"))]  # for segments written before they had ``here``
+        return last.where(F.coalesce("m.here", ~F.col("m.seg").isin(gone) if gone else F.lit(True))).select("doc_id", F.col("m.dl").alias("dl"))
 
     def keywords(self) -> KeywordIndex:
         lengths = self.documents().where("dl IS NOT NULL")

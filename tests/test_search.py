@@ -297,3 +297,21 @@ def test_many_nearest_in_parts_and_blocks(spark, monkeypatch, metric):
     assert got == sorted(want)
     plan = near._jdf.queryExecution().executedPlan().toString()
     assert "Generate explode(queries" not in plan and "FlatMapCoGroupsInArrow" in plan
+
+
+def test_a_store_keeps_the_tables_it_is_made_for(spark, docs, tmp_path):
+    """No table that nobody asked for, no range partitioning, which would make all rows twice, and removals without a keyword table."""
+    store = IndexStore(spark, str(tmp_path / "v"), lambda d: vector.embed_tokens(d, 8), keywords=False, trigrams=False)
+    store.index(docs)
+    store.remove(docs.where("doc_id = 1").select("doc_id"))
+    assert sorted(p.name for p in (tmp_path / "v").iterdir()) == ["docs", "vectors"]
+    assert {r["vec_id"] for r in store.vectors().collect()} == {0, 2, 3}
+    assert {(r["doc_id"], r["dl"]) for r in store.documents().collect()} == {(0, 4), (2, 2), (3, 3), (4, None), (5, None)}
+    store.compact()
+    assert {r["doc_id"] for r in store.documents().collect()} == {0, 2, 3, 4, 5}
+    many = docs.sparkSession.range(300).selectExpr("id AS doc_id", "concat('the word', id) AS text")
+    whole = IndexStore(spark, str(tmp_path / "k"))
+    whole.index(many)
+    for part in (tmp_path / "k" / "postings" / "seg=1").glob("*.parquet"):  # each file has its own documents, sorted by term
+        terms = [r["term"] for r in spark.read.parquet(str(part)).collect()]
+        assert terms == sorted(terms) and "the" in terms
