@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,34 @@ def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pad:
     return docs.select(F.explode(trigrams(F.col(text_col), pad)).alias("gram"), F.col(id_col).cast("long").alias("doc_id"))
 
 
+@dataclass(frozen=True)
+class Texts:
+    """Documents in place of an index: a search looks for its own grams in the texts, and no others are made."""
+
+    docs: DataFrame
+    id_col: str = "doc_id"
+    text_col: str = "text"
+    pad: bool = True
+
+    def table(self) -> DataFrame:
+        return build(self.docs, self.id_col, self.text_col, self.pad)
+
+    def shared(self, grams: list[str]) -> DataFrame:
+        body = fold(F.col(self.text_col))
+        data = F.encode(F.concat(F.lit("$$"), body, F.lit("$$")) if self.pad else body, "UTF-8")
+        rows = self.docs.select(F.col(self.id_col).cast("long").alias("doc_id"), data.alias("data"))
+        n = sum((F.contains("data", F.lit(bytes.fromhex(g))).cast("int") for g in grams), F.lit(0))
+        found = rows.select("doc_id", n.alias("n")).groupBy("doc_id").agg(F.sum("n").alias("n"))  # summed before it is filtered, so that n is computed once
+        return found.where("n > 0")
+
+
+def _shared(index: DataFrame | Texts, grams: list[str]) -> DataFrame:
+    """(doc_id, n): how many of the grams the documents with any have."""
+    if isinstance(index, Texts):
+        return index.shared(grams)
+    return index.where(F.col("gram").isin(grams)).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
 def query_grams(text: str, pad: bool) -> list[str]:
     """Distinct byte trigrams of a query, in hex."""
     data = text.encode()
@@ -27,10 +57,10 @@ def frequency(index: DataFrame) -> DataFrame:
     return index.groupBy("gram").agg(F.count("*").alias("df"))
 
 
-def search_substring(index: DataFrame, pattern: str, docs: DataFrame | None = None) -> DataFrame:
+def search_substring(index: DataFrame | Texts, pattern: str, docs: DataFrame | None = None) -> DataFrame:
     """(doc_id): documents with all trigrams of the pattern; verified against the text where ``docs`` is given. Patterns under three bytes find nothing."""
     grams = query_grams(pattern, False)
-    found = index.where(F.col("gram").isin(grams)).groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") == max(1, len(grams))).select("doc_id")
+    found = _shared(index, grams).where(F.col("n") == max(1, len(grams))).select("doc_id")
     if docs is None:
         return found
     # Candidates first, as they are few; only their texts are folded. The sizes of both sides decide on a broadcast at run time.
@@ -38,16 +68,16 @@ def search_substring(index: DataFrame, pattern: str, docs: DataFrame | None = No
     return texts.where(F.contains(fold(F.col("text")), fold(F.lit(pattern)))).select("doc_id")
 
 
-def search_fuzzy(index: DataFrame, query: str, threshold: float = THRESHOLD, limit: int | None = LIMIT) -> DataFrame:
+def search_fuzzy(index: DataFrame | Texts, query: str, threshold: float = THRESHOLD, limit: int | None = LIMIT) -> DataFrame:
     """(doc_id, similarity): share of the query's padded trigrams in the document, at least half of ``threshold``."""
     grams = query_grams(query, True)
     threshold = THRESHOLD if threshold < 0 else threshold
-    shared = index.where(F.col("gram").isin(grams)).groupBy("doc_id").agg((F.count("*") / F.lit(float(len(grams)))).alias("similarity"))
+    shared = _shared(index, grams).select("doc_id", (F.col("n") / F.lit(float(len(grams)))).alias("similarity"))
     kept = shared.where(F.col("similarity") >= 0.5 * threshold).withColumn("similarity", F.round("similarity", 6))
     return kept if limit is None else kept.orderBy(F.desc("similarity"), "doc_id").limit(limit)
 
 
-def find_similar(index: DataFrame, text: str, limit: int = 10) -> DataFrame:
+def find_similar(index: DataFrame | Texts, text: str, limit: int = 10) -> DataFrame:
     return search_fuzzy(index, text, 0.1, limit)
 
 

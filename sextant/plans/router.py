@@ -117,7 +117,7 @@ class SearchRouter:
     """Searches over whichever of the indexes are given."""
 
     keywords: keyword.KeywordIndex | None = None
-    grams: DataFrame | None = None
+    grams: DataFrame | trigram.Texts | None = None
     vectors: DataFrame | None = None
     embed: Callable[[str], list[float]] | Callable[[Column], Column] | None = None  # of a text, or as a column expression
     limits: dict = field(default_factory=dict)
@@ -176,7 +176,8 @@ class SearchRouter:
             out["documents"] = self.keywords.stats.first()["n"]
             out["terms"] = self.keywords.terms().count()
         if self.grams is not None:
-            out["trigrams"] = self.grams.select("gram").distinct().count()
+            grams = self.grams.table() if isinstance(self.grams, trigram.Texts) else self.grams
+            out["trigrams"] = grams.select("gram").distinct().count()
         if self.vectors is not None:
             out["vectors"] = self.vectors.count()
         return out

@@ -315,3 +315,13 @@ def test_a_store_keeps_the_tables_it_is_made_for(spark, docs, tmp_path):
     for part in (tmp_path / "k" / "postings" / "seg=1").glob("*.parquet"):  # each file has its own documents, sorted by term
         terms = [r["term"] for r in spark.read.parquet(str(part)).collect()]
         assert terms == sorted(terms) and "the" in terms
+
+
+def test_grams_sought_in_texts(docs):
+    """Without an index the grams asked for are sought in the texts, with the same result and no row for any other gram."""
+    texts, grams = trigram.Texts(docs), trigram.build(docs)
+    for query in ("quikc", "the", "\u00e9 \u00e7", "x", ""):
+        assert sorted(trigram.search_fuzzy(texts, query, 0.1).collect()) == sorted(trigram.search_fuzzy(grams, query, 0.1).collect())
+    for pattern in ("QUICK", "qu", "uick d"):
+        assert sorted(trigram.search_substring(texts, pattern).collect()) == sorted(trigram.search_substring(grams, pattern).collect())
+    assert "Generate" not in trigram.search_fuzzy(texts, "quikc")._jdf.queryExecution().optimizedPlan().toString()
